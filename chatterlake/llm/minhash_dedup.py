@@ -13,8 +13,8 @@ are compared on their full sets, so a link is never claimed wrongly.
 
 Defined cases. A null text or one without words has an empty set and links with nothing.
 Fewer than five words: the whole sequence is the one shingle. Equal sets form one class,
-compared once. Rows that repeat a doc_id are one document each, with equal component ids
-if their texts link. An empty table gives no rows. Further input columns are ignored.
+compared once. Rows that repeat a doc_id are one document each. A row without a doc_id is
+compared only with equal sets and is never `kept`. An empty table gives no rows. Further input columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ STARS = 3
 _rng = np.random.default_rng(75)
 MULTIPLY = _rng.integers(0, 2**32, SKETCH, dtype=np.uint32) | np.uint32(1)
 FLIP = _rng.integers(0, 2**32, SKETCH, dtype=np.uint32)
-SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, halves array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, n_shingles long, node long, halves array<long>, sketch array<long>"
 
 
 def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,6 +53,14 @@ def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return T.distinct(*T.shingles(T.word_hashes(raw, starts, ends), first, WIDTH))
 
 
+def nodes(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each set; equal sets have equal names."""
+    if not len(begin):
+        return np.zeros(0, T.U64)
+    size = np.diff(np.append(begin, len(values))).astype(T.U64)
+    return T.mix(np.add.reduceat(T.mix(values + T.BASE), begin) + T.mix(np.add.reduceat(T.mix(values ^ T.STEP), begin) + size))
+
+
 def minima(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """SKETCH minima of each set."""
     low = (values >> T.U64(32)).astype(np.uint32) ^ values.astype(np.uint32)
@@ -72,12 +80,11 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, owner, begin = sets_of(texts.slice(a, b - a))
             n = b - a
             size = np.bincount(owner, minlength=n).astype(np.int64)
-            set_a, set_b = np.zeros(n, T.U64), np.zeros(n, T.U64)
+            node = np.zeros(n, T.U64)
             halves, sketch = np.zeros((n, 2 * HALVES), np.int64), np.zeros((n, SKETCH // 16), np.int64)
             if len(begin):
                 rows = owner[begin]
-                set_a[rows] = np.add.reduceat(T.mix(values + T.BASE), begin)
-                set_b[rows] = np.add.reduceat(T.mix(values ^ T.STEP), begin)
+                node[rows] = nodes(values, begin)
                 low = minima(values, begin)
                 half = np.zeros((len(rows), 2 * HALVES), T.U64)
                 for r in range(ROWS):
@@ -86,22 +93,21 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shift = np.arange(16, dtype=T.U64) * T.U64(4)
                 nibbles = (T.mix(low.astype(T.U64)) & T.U64(15)).reshape(len(rows), SKETCH // 16, 16) << shift
                 sketch[rows] = np.bitwise_or.reduce(nibbles, axis=2).view(np.int64)
-            empty = pa.array(size == 0)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             yield pa.record_batch(
-                [batch.column("doc_id").slice(a, n).cast(pa.int64()), pa.array(size), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), lists(halves), lists(sketch)],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "halves", "sketch"])
+                [batch.column("doc_id").slice(a, n).cast(pa.int64()), pa.array(size), pa.array(node.view(np.int64)), lists(halves), lists(sketch)],
+                names=["doc_id", "n_shingles", "node", "halves", "sketch"])
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
         for a, b in T.slices(texts):
-            values, owner, _ = sets_of(texts.slice(a, b - a))
-            cuts = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
+            values, owner, begin = sets_of(texts.slice(a, b - a))
+            cuts = np.append(begin, len(values)).astype(np.int32)
             yield pa.record_batch(
-                [batch.column("rep").slice(a, b - a).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.view(np.int64)))],
-                names=["rep", "items"])
+                [pa.array(nodes(values, begin).view(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.view(np.int64)))],
+                names=["node", "items"])
 
 
 def agreeing(a: str, b: str) -> Column:
@@ -119,7 +125,7 @@ def agreeing(a: str, b: str) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link on their full sets."""
-    left, right = (sets.select(F.col("rep").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
+    left, right = (sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - F.col("shared")
     joined = pairs.join(right, "b").join(left, "a").withColumn("shared", shared)
@@ -137,47 +143,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = scratch.write(docs.mapInArrow(signatures, SIGNATURE))
     classes = scratch.write(
-        every.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")))
+        every.filter("n_shingles > 0").groupBy("node")
+        .agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")))
 
     # Halves that two classes share, back with their class; then the tensored table keys.
-    half = classes.filter("n_shingles > 1").select("rep", F.posexplode("halves").alias("at", "half"))
+    half = classes.filter("n_shingles > 1").select("node", F.posexplode("halves").alias("at", "half"))
     common = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    mine = half.join(common, "half").groupBy("rep").agg(
+    mine = half.join(common, "half").groupBy("node").agg(
         F.collect_list(F.when(F.col("at") < HALVES, F.col("half"))).alias("first"),
         F.collect_list(F.when(F.col("at") >= HALVES, F.col("half"))).alias("second"))
-    keys = mine.select("rep", F.explode("first").alias("h"), "second").select("rep", "h", F.explode("second").alias("g")).select(
-        F.xxhash64("h", "g").alias("key"), "rep")
+    keys = mine.select("node", F.explode("first").alias("h"), "second").select("node", "h", F.explode("second").alias("g")).select(
+        F.xxhash64("h", "g").alias("key"), "node")
     several = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = scratch.write(keys.join(several, "key"))
 
-    held = buckets.select("rep").distinct()
-    texts = docs.withColumnRenamed("doc_id", "rep").join(held, "rep", "left_semi")
-    sets = scratch.write(texts.mapInArrow(full_sets, "rep long, items array<long>").dropDuplicates(["rep"]))
-    sketches = scratch.write(classes.join(held, "rep", "left_semi").select(
-        "rep", *[F.col("sketch")[i].alias(f"s_{i}") for i in range(SKETCH // 16)]))
+    held = buckets.select("node").distinct()
+    chosen = classes.join(held, "node", "left_semi").select(F.col("class_id").alias("doc_id")).distinct()
+    texts = docs.join(chosen, "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(full_sets, "node long, items array<long>").join(held, "node", "left_semi")
+    sets = scratch.write(sets.dropDuplicates(["node"]))
+    sketches = scratch.write(classes.join(held, "node", "left_semi").select(
+        "node", *[F.col("sketch")[i].alias(f"s_{i}") for i in range(SKETCH // 16)]))
 
     def sketch_of(x: str) -> DataFrame:
-        return sketches.select(F.col("rep").alias(x), *[F.col(f"s_{i}").alias(f"{x}_{i}") for i in range(SKETCH // 16)])
+        return sketches.select(F.col("node").alias(x), *[F.col(f"s_{i}").alias(f"{x}_{i}") for i in range(SKETCH // 16)])
 
-    labels = scratch.write(sketches.select("rep", F.col("rep").alias("component")))
-    parts = buckets.withColumn("component", F.col("rep"))
+    labels = scratch.write(sketches.select("node", F.col("node").alias("component")))
+    parts = buckets.withColumn("component", F.col("node"))
     seen = None
     for turn in range(STARS + 1):
         # Buckets that hold more than one component are all that matters from here on.
         mixed = parts.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep"), "rep")).alias("leader")).filter("low < high")
+            F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.col("node"), "node")).alias("leader")).filter("low < high")
         if turn < STARS:
-            star = parts.join(mixed.select("key", "leader"), "key").filter("rep != leader")
-            star = star.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"), "component", "leader").distinct()
-            at_leader = labels.select(F.col("rep").alias("leader"), F.col("component").alias("other"))
+            star = parts.join(mixed.select("key", "leader"), "key").filter("node != leader")
+            star = star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "component", "leader").distinct()
+            at_leader = labels.select(F.col("node").alias("leader"), F.col("component").alias("other"))
             pairs = star.join(at_leader, "leader").filter("component != other").select("a", "b").distinct()
             pairs = pairs.join(sketch_of("a"), "a").join(sketch_of("b"), "b").filter(agreeing("a", "b") >= AGREE).select("a", "b")
         else:
             rest = scratch.write(parts.join(mixed.select("key"), "key"))
-            left = rest.select("key", F.col("rep").alias("a"), F.col("component").alias("component_a")).join(sketch_of("a"), "a")
-            right = rest.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b")).join(sketch_of("b"), "b")
+            left = rest.select("key", F.col("node").alias("a"), F.col("component").alias("component_a")).join(sketch_of("a"), "a")
+            right = rest.select("key", F.col("node").alias("b"), F.col("component").alias("component_b")).join(sketch_of("b"), "b")
             apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (agreeing("a", "b") >= AGREE)
             pairs = left.join(right, "key").filter(apart).select("a", "b").distinct()
         if seen is not None:
@@ -187,20 +195,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         seen = pairs if seen is None else seen.union(pairs)
         if not links.limit(1).count():
             continue
-        of = lambda x: labels.select(F.col("rep").alias(x), F.col("component").alias(f"of_{x}"))
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
         edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
         merged = components(edges.filter("a != b"), scratch).select(F.col("node").alias("component"), F.col("component").alias("to"))
-        labels = scratch.write(labels.join(merged, "component", "left").select("rep", F.coalesce("to", "component").alias("component")))
-        parts = buckets.join(labels, "rep")
+        labels = scratch.write(labels.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        parts = buckets.join(labels, "node")
 
-    found = classes.select("set_a", "set_b", "n_shingles", F.col("rep").alias("class_id")).join(
-        labels.select(F.col("rep").alias("class_id"), "component"), "class_id", "left")
-    out = every.select("doc_id", "n_shingles", "set_a", "set_b").join(found, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.coalesce("component", "class_id", "doc_id")
-    return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    placed = classes.select("node", "class_id").join(labels.withColumnRenamed("component", "top"), "node", "left")
+    placed = placed.withColumn("top", F.coalesce("top", "node"))
+    smallest = placed.groupBy("top").agg(F.min("class_id").alias("smallest"))
+    found = placed.join(smallest, "top").select("node", "class_id", "smallest")
+    out = every.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(found, "node", "left")
+    component = F.coalesce("smallest", "doc_id")
+    return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group of near-duplicates, all their columns unchanged."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi")
+    """The documents with one of each group of near-duplicates, all their columns unchanged.
+
+    Rows without a doc_id stay; rows that share a doc_id stay if one of them does.
+    """
+    found = near_duplicates(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_stays"))
+    return docs.join(found.filter("not _stays"), docs["doc_id"] == F.col("_id"), "left_anti")

@@ -46,3 +46,21 @@ def near_components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int,
             a, b = sorted((root(a), root(b)))
             up[b] = a
     return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def cut_repeats(rows: list[tuple[int, str | None]], window: int = 35) -> list[tuple[int, int, int, str]]:
+    """(doc_id, n_words, n_removed, kept text) by counting every window of every text."""
+    texts = [(i, words(t)) for i, t in rows]
+    seen: dict = {}
+    for _, w in texts:
+        for k in range(len(w) - window + 1):
+            x = tuple(w[k : k + window])
+            seen[x] = seen.get(x, 0) + 1
+    out = []
+    for i, w in texts:
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            if seen[tuple(w[k : k + window])] > 1:
+                gone[k : k + window] = [True] * window
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return out
