@@ -67,7 +67,7 @@ def write_media(payload: bytes) -> bytes:
     head = element(EBML, number(0x4286, 1) + number(0x42F7, 1) + number(0x42F2, 4) + number(0x42F3, 8) + element(0x4282, b"matroska") + number(0x4287, 4) + number(0x4285, 2))
     info = element(INFO, number(TIMESTAMP_SCALE, TICK_NS) + element(0x4D80, b"chatterlake") + element(0x5741, b"chatterlake"))
     audio = element(AUDIO, element(RATE, struct.pack(">d", SAMPLE_RATE)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + number(DEFAULT_DURATION, FRAME * TICK_NS) + audio))
     body, cues = [info, tracks], []
     at = len(info) + len(tracks)
     step, whole = FRAME * FRAMES_A_BLOCK, FRAME * FRAMES_A_BLOCK * BLOCKS_A_CLUSTER
@@ -163,8 +163,8 @@ def read_media(data: bytes) -> dict:
                 out["tracks"][body()] = track
             elif eid == CODEC_ID:
                 track["codec"] = data[at:end].rstrip(b"\0").decode("ascii", "replace")
-            elif eid in (TRACK_TYPE, CHANNELS, BIT_DEPTH):
-                track[{TRACK_TYPE: "type", CHANNELS: "channels", BIT_DEPTH: "depth"}[eid]] = body()
+            elif eid in (TRACK_TYPE, CHANNELS, BIT_DEPTH, DEFAULT_DURATION):
+                track[{TRACK_TYPE: "type", CHANNELS: "channels", BIT_DEPTH: "depth", DEFAULT_DURATION: "duration"}[eid]] = body()
             elif eid == RATE:
                 track["rate"] = struct.unpack(">d" if end - at == 8 else ">f", data[at:end])[0]
             elif eid == TIMESTAMP:
@@ -180,8 +180,9 @@ def read_media(data: bytes) -> dict:
                 shift, flags = struct.unpack(">hB", data[p : p + 3])
                 lacing = flags >> 1 & 3
                 p, sizes = frame_sizes(data, p + 3, end, lacing)
-                for n in sizes:
-                    out["packets"].append((number_, cluster, out["clusters"][-1][1] + shift, p, p + n, bool(flags & 0x80) and eid == SIMPLE_BLOCK, lacing))
+                tick = out["tracks"].get(number_, {}).get("duration", 0) // out["scale"]
+                for k, n in enumerate(sizes):  # laced frames follow one another by the track's default duration
+                    out["packets"].append((number_, cluster, out["clusters"][-1][1] + shift + k * tick, p, p + n, bool(flags & 0x80) and eid == SIMPLE_BLOCK, lacing))
                     p += n
             at = end
     except (ValueError, IndexError, struct.error) as why:
