@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, minhash_dedup, repeated_windows, toxicity
+from . import language_id, matroska, minhash_dedup, repeated_windows, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.text_media(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,6 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_toxicity, op8_matroska, op10_repeated_windows)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_toxicity, op6_language_id, op8_matroska, op10_repeated_windows)}
 
 ORACLE_SQL: dict[str, str] = {}
