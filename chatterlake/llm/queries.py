@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, matroska, minhash_dedup, repeated_windows, toxicity
+from . import language_id, matroska, minhash_dedup, mixing, packing, repeated_windows, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +41,8 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_toxicity, op6_language_id, op8_matroska, op10_repeated_windows)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_mixing, op4_toxicity, op6_language_id, op8_matroska, op10_repeated_windows)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.SQL,
+}
