@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 
 from . import textkit as T
 
-SAMPLE, MIN_DOCS, DOCS_SHARE, EPOCHS, RATE, SHRINK = 8_000, 3, 500, 120, 0.3, 0.05
+SAMPLE, MIN_DOCS, DOCS_SHARE, EPOCHS, RATE, SHRINK = 8_000, 3, 500, 120, 0.3, 0.01
 #: Bytes of the beginnings of words that are features beside the words.
 BEGINNINGS = (4, 5)
 NO_MODEL = -8.0
 THRESHOLD = 0.7
 TABLE_BITS = 20
+#: Features are screened in a table of so many bits; a feature's odds of toxic documents must be so many times the corpus's.
+SCREEN_BITS, LIFT = 22, 3.0
 
 #: Bytes of words: ASCII letters and digits, and all bytes of other characters.
 INK = np.zeros(256, bool)
@@ -100,36 +102,61 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
+def screened(texts: pa.Array, labels: np.ndarray) -> np.ndarray:
+    """Hashes of the features in enough documents, toxic ones above their share. Others can't earn a weight above 0."""
+    size = 1 << SCREEN_BITS
+    keys, docs, toxic = np.zeros(size, T.U64), np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for a, b in T.slices(texts):
+        s = sentences_of(texts.slice(a, b - a))
+        sizes = np.diff(np.append(s.begin, len(s.words)))
+        owner = np.repeat(np.repeat(s.doc, sizes), s.words.shape[1])
+        features = s.words.ravel()
+        at = (features & T.U64(size - 1)).astype(np.int64)
+        free = keys[at] == 0
+        keys[at[free]] = features[free]
+        mine = (keys[at] == features) & (features != 0)
+        pairs = np.unique(owner[mine] * size + at[mine])
+        docs += np.bincount(pairs % size, minlength=size).astype(np.int32)
+        toxic += np.bincount(pairs[labels[a:b][pairs // size]] % size, minlength=size).astype(np.int32)
+    enough = docs >= max(MIN_DOCS, len(labels) // DOCS_SHARE)
+    return np.sort(keys[enough & (toxic * float((~labels).sum()) > LIFT * labels.sum() * (docs - toxic))])
+
+
 def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     """Adam on the documents' log loss, all documents in each step."""
-    s = sentences_of(texts)
     labels = labels.astype(bool)
-    if not labels.any() or labels.all() or not len(s.words):
+    if not labels.any() or labels.all():
+        return Model(np.zeros(0, T.U64), np.zeros(0, np.float32), NO_MODEL)
+    vocabulary = screened(texts, labels)
+    if not len(vocabulary):
         return Model(np.zeros(0, T.U64), np.zeros(0, np.float32), NO_MODEL)
-    sizes = np.diff(np.append(s.begin, len(s.words)))
-    sentence = np.repeat(np.arange(len(s.begin)), sizes)
-    features, owner = s.words.ravel(), np.repeat(sentence, s.words.shape[1])
-    vocabulary, place = np.unique(features, return_inverse=True)
-    seen = np.unique(place * len(labels) + s.doc[owner]) // len(labels)
-    enough = (np.bincount(seen, minlength=len(vocabulary)) >= max(MIN_DOCS, len(labels) // DOCS_SHARE)) & (vocabulary != 0)
-    used = enough[place]
-    slot, owner = (np.cumsum(enough) - 1)[place[used]], owner[used]
-    n = max(1, int(enough.sum()))
-    weights, bias = np.zeros(n), -np.log(len(s.begin) / max(1, labels.sum()))
+    slots, owners, doc, count = [], [], [], 0
+    for a, b in T.slices(texts):
+        s = sentences_of(texts.slice(a, b - a))
+        sizes = np.diff(np.append(s.begin, len(s.words)))
+        place = np.minimum(np.searchsorted(vocabulary, s.words), len(vocabulary) - 1)
+        word, k = np.nonzero(vocabulary[place] == s.words)
+        slots.append(place[word, k].astype(np.int32))
+        owners.append((np.repeat(np.arange(len(sizes)), sizes)[word] + count).astype(np.int32))
+        doc.append(s.doc + a)
+        count += len(sizes)
+    slot, owner, doc = np.concatenate(slots), np.concatenate(owners), np.concatenate(doc)
+    n = len(vocabulary)
+    weights, bias = np.zeros(n), -np.log(max(1, count) / labels.sum())
     mean, spread = np.zeros(n + 1), np.zeros(n + 1)
     balance = np.where(labels, 0.5 / labels.mean(), 0.5 / (~labels).mean()) ** 0.5
     for turn in range(1, EPOCHS + 1):
-        z = np.bincount(owner, weights[slot], minlength=len(s.begin)) + bias
-        total = np.bincount(s.doc, softplus(z), minlength=len(labels))  # -log(1 - P)
+        z = np.bincount(owner, weights[slot], minlength=count) + bias
+        total = np.bincount(doc, softplus(z), minlength=len(labels))  # -log(1 - P)
         pull = np.where(labels, -np.exp(-total) / np.maximum(-np.expm1(-total), 1e-12), 1.0) * balance
-        step = pull[s.doc] / (1 + np.exp(-np.clip(z, -60, 60)))
+        step = pull[doc] / (1 + np.exp(-np.clip(z, -60, 60)))
         grad = np.append(np.bincount(slot, step[owner], minlength=n) + SHRINK * weights, step.sum()) / len(labels)
         mean += 0.1 * (grad - mean)
         spread += 0.01 * (grad**2 - spread)
         move = RATE * mean / (1 - 0.9**turn) / (np.sqrt(spread / (1 - 0.99**turn)) + 1e-8)
         weights = np.maximum(weights - move[:-1], 0)
         bias -= move[-1]
-    return Model(vocabulary[enough], weights[: int(enough.sum())].astype(np.float32), float(bias))
+    return Model(vocabulary, weights.astype(np.float32), float(bias))
 
 
 def log_odds(s: Sentences, table: tuple[np.ndarray, np.ndarray], bias: float) -> np.ndarray:
