@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, matroska, minhash_dedup, mixing, packing, repeated_windows, toxicity
+from . import language_id, matroska, minhash_dedup, mixing, packing, repeated_windows, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -41,8 +46,9 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_mixing, op4_toxicity, op6_language_id, op8_matroska, op10_repeated_windows)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_mixing, op4_toxicity, op5_topk, op6_language_id, op8_matroska, op10_repeated_windows)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.SQL,
+    "op5_topk": topk.SQL,
 }
