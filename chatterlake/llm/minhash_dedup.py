@@ -8,8 +8,9 @@ document shares enter a table key, since a table key is shared only if both its
 Recall. Two sets of similarity s meet in some table with probability
 (1 - (1 - s^ROWS)^HALVES)^2: 0.9995 at s = 0.75, 0.99999 at 0.85. Candidates whose
 sketches of `SKETCH` minima disagree so much that a similarity of 0.75 would show it with
-probability below 1e-4 are not compared. All other candidates in different components
-are compared on their full sets, so a link is never claimed wrongly.
+probability below 3e-4 are not compared. All other candidates in different components
+are compared on their full sets, so a link is never claimed wrongly. A few star rounds
+merge most of a large group first, so the pairs compared are those that decide something.
 
 Defined cases. A null text or one without words has an empty set and links with nothing.
 Fewer than five words: the whole sequence is the one shingle. Equal sets form one class,
@@ -33,9 +34,9 @@ from .storage import Scratch
 WIDTH, PERCENT = 5, 75
 ROWS, HALVES = 2, 10
 #: Minima that the sketch keeps four bits of; 16 to a long.
-SKETCH = 96
-#: Sketch minima that must agree: four-bit agreement is 0.766 at similarity 0.75, less 3.7 deviations.
-AGREE = 58
+SKETCH = 1024
+#: (longs, minima that must agree in them): four-bit agreement is 0.766 at similarity 0.75, less 3.7 deviations.
+AGREE = ((6, 58), (64, 733))
 #: Star rounds that merge the bulk of large groups before what is left is compared exhaustively.
 STARS = 3
 
@@ -110,17 +111,28 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["node", "items"])
 
 
-def agreeing(a: str, b: str) -> Column:
-    """How many of the sketches' minima agree in their four bits."""
-    total = None
+def alike() -> Column:
+    """Whether two sketches, s_a and s_b, may be of sets with similarity 0.75; a few longs settle most."""
     ones = F.lit(0x1111111111111111).cast("long")
-    for i in range(SKETCH // 16):
-        x = F.col(f"{a}_{i}").bitwiseXOR(F.col(f"{b}_{i}"))
+
+    def differing(a: Column, b: Column) -> Column:
+        x = a.bitwiseXOR(b)
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        differ = F.bit_count(x.bitwiseAND(ones))
-        total = differ if total is None else total + differ
-    return F.lit(SKETCH) - total
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones))
+
+    (few, few_agree), (all_, all_agree) = AGREE
+    first = sum((differing(F.col("s_a")[i], F.col("s_b")[i]) for i in range(few)), F.lit(0))
+    whole = F.aggregate(F.zip_with("s_a", "s_b", differing), F.lit(0), lambda total, x: total + x)
+    return (16 * few - first >= few_agree) & (16 * all_ - whole >= all_agree)
+
+
+def first_meeting() -> Column:
+    """Whether table (i, j) is the first that two documents share: they differ in all halves before i and before j."""
+    out = F.lit(True)
+    for k in range(HALVES):
+        out &= (F.col("i") <= k) | (F.col("halves_a")[k] != F.col("halves_b")[k])
+        out &= (F.col("j") <= HALVES + k) | (F.col("halves_a")[HALVES + k] != F.col("halves_b")[HALVES + k])
+    return out
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -150,10 +162,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     half = classes.filter("n_shingles > 1").select("node", F.posexplode("halves").alias("at", "half"))
     common = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     mine = half.join(common, "half").groupBy("node").agg(
-        F.collect_list(F.when(F.col("at") < HALVES, F.col("half"))).alias("first"),
-        F.collect_list(F.when(F.col("at") >= HALVES, F.col("half"))).alias("second"))
+        F.collect_list(F.when(F.col("at") < HALVES, F.struct("half", "at"))).alias("first"),
+        F.collect_list(F.when(F.col("at") >= HALVES, F.struct("half", "at"))).alias("second"))
     keys = mine.select("node", F.explode("first").alias("h"), "second").select("node", "h", F.explode("second").alias("g")).select(
-        F.xxhash64("h", "g").alias("key"), "node")
+        F.xxhash64("h.half", "g.half").alias("key"), "node", F.col("h.at").cast("byte").alias("i"), F.col("g.at").cast("byte").alias("j"))
     several = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = scratch.write(keys.join(several, "key"))
 
@@ -162,11 +174,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.join(chosen, "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(full_sets, "node long, items array<long>").join(held, "node", "left_semi")
     sets = scratch.write(sets.dropDuplicates(["node"]))
-    sketches = scratch.write(classes.join(held, "node", "left_semi").select(
-        "node", *[F.col("sketch")[i].alias(f"s_{i}") for i in range(SKETCH // 16)]))
+    sketches = scratch.write(classes.join(held, "node", "left_semi").select("node", "halves", "sketch"))
 
     def sketch_of(x: str) -> DataFrame:
-        return sketches.select(F.col("node").alias(x), *[F.col(f"s_{i}").alias(f"{x}_{i}") for i in range(SKETCH // 16)])
+        return sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("halves").alias(f"halves_{x}"))
 
     labels = scratch.write(sketches.select("node", F.col("node").alias("component")))
     parts = buckets.withColumn("component", F.col("node"))
@@ -181,13 +192,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             star = star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "component", "leader").distinct()
             at_leader = labels.select(F.col("node").alias("leader"), F.col("component").alias("other"))
             pairs = star.join(at_leader, "leader").filter("component != other").select("a", "b").distinct()
-            pairs = pairs.join(sketch_of("a"), "a").join(sketch_of("b"), "b").filter(agreeing("a", "b") >= AGREE).select("a", "b")
+            pairs = pairs.join(sketch_of("a"), "a").join(sketch_of("b"), "b").filter(alike()).select("a", "b")
         else:
             rest = scratch.write(parts.join(mixed.select("key"), "key"))
-            left = rest.select("key", F.col("node").alias("a"), F.col("component").alias("component_a")).join(sketch_of("a"), "a")
+            left = rest.select("key", "i", "j", F.col("node").alias("a"), F.col("component").alias("component_a")).join(sketch_of("a"), "a")
             right = rest.select("key", F.col("node").alias("b"), F.col("component").alias("component_b")).join(sketch_of("b"), "b")
-            apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (agreeing("a", "b") >= AGREE)
-            pairs = left.join(right, "key").filter(apart).select("a", "b").distinct()
+            apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
+            pairs = left.join(right, "key").filter(apart & first_meeting() & alike()).select("a", "b").distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs)
