@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, matroska, minhash_dedup, mixing, packing, repeated_windows, topk, toxicity
+from . import chat_format, language_id, line_dedup, matroska, minhash_dedup, mixing, packing, repeated_windows, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,14 +49,19 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.text_media(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_mixing, op4_toxicity, op5_topk, op6_language_id, op7_chat_format, op8_matroska, op10_repeated_windows)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_mixing, op4_toxicity, op5_topk, op6_language_id, op7_chat_format, op8_matroska, op9_line_dedup, op10_repeated_windows)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.SQL,
     "op5_topk": topk.SQL,
     "op7_chat_format": chat_format.SQL,
+    "op9_line_dedup": line_dedup.SQL,
 }
