@@ -1,4 +1,8 @@
-"""The documents' way to training sequences, stage by stage."""
+"""The documents' way to training sequences, stage by stage.
+
+Each stage takes all that its predecessor kept and returns the columns of documents; the
+last returns the packed pieces. Between stages the documents are written and read again.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +10,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatterlake.llm import minhash_dedup
+from chatterlake.llm import line_dedup, minhash_dedup, mixing, packing, toxicity
 from chatterlake.llm.storage import Scratch
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be toxic go; the model learns from the labelled ones among them."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are like an earlier one go; every document stays, with what is left of it."""
+    return line_dedup.without_repeats(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return minhash_dedup.keep_one(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the proportions of their sources' weights: some more than once, some not at all."""
+    return mixing.mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in training sequences."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("minhash_dedup", near_dedup),
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("minhash_dedup", dedup_documents),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
+#: A trained model and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
