@@ -191,14 +191,22 @@ def snippet(text: Column, limit: int = 100, mark: str = "...") -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, limit)), F.lit(mark)))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: an outer expression inside a lambda is computed anew for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def shingles(compact_text: Column) -> Column:
     """Distinct word triples; five-character runs where there are fewer words; else the text."""
-    tokens = F.filter(F.split(compact_text, " "), lambda t: t != "")
-    joined = F.array_join(tokens, "")
-    triples = F.transform(F.sequence(F.lit(1), F.size(tokens) - 2), lambda i: F.array_join(F.slice(tokens, i, F.lit(3)), " "))
-    runs = F.transform(F.sequence(F.lit(1), F.length(joined) - 4), lambda i: F.substr(joined, i, F.lit(5)))
-    rest = F.when(F.length(joined) > 0, F.array(joined)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.when(F.size(tokens) >= 3, triples).when(F.length(joined) >= 5, runs).otherwise(rest))
+    def of_tokens(tokens: Column) -> Column:
+        triples = F.transform(F.sequence(F.lit(1), F.size(tokens) - 2), lambda i: F.array_join(F.slice(tokens, i, F.lit(3)), " "))
+        return F.when(F.size(tokens) >= 3, triples).otherwise(let(F.array_join(tokens, ""), of_characters))
+
+    def of_characters(joined: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.length(joined) - 4), lambda i: F.substr(joined, i, F.lit(5)))
+        return F.when(F.length(joined) >= 5, runs).when(F.length(joined) > 0, F.array(joined)).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(let(F.filter(F.split(compact_text, " "), lambda t: t != ""), of_tokens))
 
 
 def shared_share(a: Column, b: Column) -> Column:

@@ -45,10 +45,12 @@ def resolved(hits: DataFrame, index: DataFrame, small: bool = False) -> DataFram
 def text_scan(mentions: DataFrame, index: DataFrame) -> DataFrame:
     """mention_id, entity_id of every alias whose words stand in the text: an equi-join on runs of words, not a scan of all pairs."""
     longest = 4
-    tokens = T.words(F.lower(F.col("text")))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tokens) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), " "))))
-    grams = mentions.select("mention_id", F.explode(F.array_distinct(runs)).alias("alias"))
+
+    def runs(tokens: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(tokens) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), " "))))
+
+    grams = mentions.select("mention_id", F.explode(F.array_distinct(T.let(T.words(F.lower(F.col("text"))), runs))).alias("alias"))
     named = index.select(F.array_join(T.words(F.lower(F.col("alias"))), " ").alias("alias"), "entity_id").filter("length(alias) >= 2")
     return grams.join(named, "alias").select("mention_id", "entity_id").distinct()
 

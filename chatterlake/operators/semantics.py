@@ -57,10 +57,14 @@ def mention_sentiment(mentions: DataFrame) -> DataFrame:
     return cued.select("mention_id", merged(F.col("labels")).alias("sentiment"), "score", confidence(0.5 + F.least(F.col("cued_segments") * 0.08, F.lit(0.32))).alias("confidence"), "cued_segments")
 
 
+def hits(tokens: Column, listed: tuple[str, ...]) -> Column:
+    return F.size(F.filter(tokens, lambda t: t.isin(*listed)))
+
+
 def anchors(mentions: DataFrame, seeds: dict[str, tuple[str, ...]], strength: float) -> DataFrame:
     """mention_id, category, hits, confidence of every seed category found in a text's words."""
     tokens = T.words(F.lower(F.col("text")))
-    counts = F.array(*[F.struct(F.lit(k).alias("category"), F.size(F.filter(tokens, lambda t, w=w: t.isin(*w))).alias("hits")) for k, w in seeds.items()])
+    counts = F.array(*[F.struct(F.lit(k).alias("category"), hits(tokens, w).alias("hits")) for k, w in seeds.items()])
     found = mentions.select("mention_id", F.explode(F.filter(counts, lambda x: x["hits"] > 0)).alias("x"))
     return found.select("mention_id", F.col("x.category").alias("category"), F.col("x.hits").alias("hits"), F.lit(strength).alias("confidence"))
 
