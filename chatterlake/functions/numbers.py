@@ -24,8 +24,3 @@ def clamp(value: Column, low: float, high: float) -> Column:
 def confidence(value: Column) -> Column:
     """A calibrated confidence: between 0.05 and 0.99, three digits."""
     return F.round(clamp(value, 0.05, 0.99), 3)
-
-
-def whole_number(text: Column) -> Column:
-    """A count that arrives as text: optional sign and digits, or a number's whole part; else 0."""
-    return F.coalesce(F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.expr("try_cast(0 as bigint)") + F.trim(text).try_cast("bigint")), F.lit(0).cast("bigint"))
