@@ -75,10 +75,13 @@ def candidates(text: Column, hints: Hints = Hints()) -> Column:
 
 def detected(text: Column, ranked: Column) -> Column:
     """struct(language, confidence): the best candidate, mixed if two are close, unknown if there is none."""
+    return T.let(F.struct(text.alias("text"), ranked.alias("ranked"), script_shares(text).alias("shares")), lambda x: _detected(x["ranked"], x["shares"]))
+
+
+def _detected(ranked: Column, shares: Column) -> Column:
     top, second = ranked[0], F.get(ranked, 1)
     gap = top["score"] - second["score"]
     pair = F.array_sort(F.array(top["lang"], second["lang"])) == F.array(F.lit("en"), F.lit("vi"))
-    shares = script_shares(text)
     several = (F.size(shares) >= 2) & (F.array_max(F.transform(shares, lambda x: x["share"])) < 0.88)
     close = (F.size(ranked) >= 2) & (((second["score"] >= 0.55 * 0.45) & (gap <= 0.12)) | (pair & (second["score"] >= 0.22) & (gap <= 0.24)))
     mixed = F.struct(F.lit("mixed").alias("language"), F.round(F.greatest((top["score"] + F.coalesce(second["score"], top["score"])) / 2, F.lit(0.55)), 4).alias("confidence"))
@@ -89,7 +92,11 @@ def detected(text: Column, ranked: Column) -> Column:
 
 def gate(raw: Column, compact: Column, provider: Column, hints: Hints = Hints()) -> Column:
     """struct(language, supported, reason): which texts go on to analysis. provider: canonical label found before."""
-    tokens = T.words(compact)
+    held = F.struct(raw.alias("raw"), T.words(compact).alias("tokens"), provider.alias("provider"))
+    return T.let(held, lambda x: _gate(x["raw"], x["tokens"], x["provider"], hints))
+
+
+def _gate(raw: Column, tokens: Column, provider: Column, hints: Hints) -> Column:
     n = F.greatest(F.size(tokens), F.lit(1))
     digit = lambda t: t.rlike(r"\p{N}")
     entity_like = F.size(F.filter(tokens, lambda t: digit(t) | t.isin(*hints.names) | (t.rlike("^[A-Za-z]{1,3}$") & ~t.isin(*hints.en, *hints.id))))

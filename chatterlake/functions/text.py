@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns and word lists that results depend on.
 URL = r"https?://\S+"
@@ -30,7 +31,7 @@ REACTIONS = ["ok", "oke", "haha", "hehe", "nice"]
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition; SQL has no such function."""
     return text.str.normalize("NFKC")
