@@ -16,6 +16,7 @@ table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -183,9 +184,18 @@ def train(docs: DataFrame, usable: Column | None = None, limit: int = SAMPLE) ->
     if usable is not None:
         known = known.filter(usable)
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumnRenamed("doc_id", "_id")
-    rows = known.join(F.broadcast(chosen), known["doc_id"] == F.col("_id")).select("doc_id", "text", "lang").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")]).combine_chunks()
-    return fit(rows["text"].combine_chunks(), rows["lang"].to_pylist())
+    rows = known.join(F.broadcast(chosen), known["doc_id"] == F.col("_id")).select("doc_id", "text", "lang")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string())]))
+        sample = sample.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")]).combine_chunks()
+        if len(sample):
+            found = fit(sample["text"].combine_chunks(), sample["lang"].to_pylist())
+            yield pa.record_batch([pa.array([pickle.dumps((found.languages, found.arrays))])], names=["model"])
+
+    # The sample is bounded, so it is fitted in one task; only the model comes to the driver.
+    found = rows.select(F.col("doc_id").cast("long"), "text", "lang").repartition(1).mapInArrow(work, "model binary").collect()
+    return Model(*pickle.loads(found[0]["model"])) if found else Model([], {})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -173,9 +173,21 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, limit: int = SAMPLE)
         known = known.filter(usable)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumnRenamed("doc_id", "_id")
     docs = docs.select("doc_id", "text")
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("doc_id", "text", "toxic").toArrow().sort_by("doc_id").combine_chunks()
-    texts = rows["text"].combine_chunks()
-    return fit(texts, rows["toxic"].to_numpy() == 1)
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("doc_id", "text", "toxic")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int64())]))
+        sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        texts = sample["text"].combine_chunks() if len(sample) else pa.array([], pa.string())
+        found = fit(texts, sample["toxic"].to_numpy() == 1)
+        yield pa.record_batch([pa.array([found.words.tobytes()]), pa.array([found.weights.tobytes()]), pa.array([found.bias])], names=["words", "weights", "bias"])
+
+    # The sample is bounded, so it is fitted in one task; only the model comes to the driver.
+    sample = rows.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("long").alias("toxic")).repartition(1)
+    found = sample.mapInArrow(work, "words binary, weights binary, bias double").collect()
+    if not found:
+        return Model(np.zeros(0, T.U64), np.zeros(0, np.float32), NO_MODEL)
+    return Model(np.frombuffer(found[0]["words"], T.U64), np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"])
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
