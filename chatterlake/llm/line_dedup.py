@@ -8,8 +8,8 @@ Equal lines are one class; only classes are joined. Tokens are ordered by rarity
 (how often their hash bucket occurs in the corpus; ties by hash), and a class is listed
 under the first n - ceil(0.75 n) + 1 of its n tokens: two sets that are similar enough
 share one of those. Classes that meet there must also have fitting sizes, enough tokens
-left from the meeting place on, and 64-bit maps of their tokens that differ in no more
-bits than sets so similar can. What passes is verified on the full sets. All filters are
+left from the meeting place on, and maps of 256 bits of their tokens that differ in no
+more bits than sets so similar can. What passes is verified on the full sets. All filters are
 necessary conditions, so no pair is lost.
 
 Defined cases. A null text has no lines; a line without words is in no class and stays.
@@ -21,14 +21,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch
 
 PERCENT = 75
 #: Hash buckets whose counts order tokens; their table is this long at any scale.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
+#: Lists are gone through in so many shares; maps of tokens have so many longs (a power of two).
+TURNS, MAPS = 4, 4
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 BLANK = r"[\x09-\x0D\x20]+"
 
 
@@ -37,7 +41,7 @@ def tokens(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    rows = docs.select("_doc", "_key", F.posexplode(F.split("_text", "\n")).alias("nth", "line"))
+    rows = docs.select("_doc", "_key", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
     return rows.withColumn("c", F.xxhash64("line"))
 
 
@@ -47,7 +51,7 @@ def bucket(token: Column) -> Column:
 
 def rarity(docs: DataFrame) -> Column:
     """An array that holds, for each bucket, eight times the binary logarithm of its tokens' occurrences."""
-    counts = docs.select(F.explode(F.split("_text", BLANK)).alias("t")).groupBy(bucket(F.col("t")).alias("b")).count()
+    counts = docs.select(F.explode(F.split("text", BLANK)).alias("t")).groupBy(bucket(F.col("t")).alias("b")).count()
     level = [0] * BUCKETS
     for r in counts.collect():  # BUCKETS rows at most
         level[r["b"]] = min(127, int(8 * math.log2(1 + r["count"])))
@@ -68,90 +72,145 @@ def listed(n: Column) -> Column:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_doc and _key tell rows apart and are never null, whatever the input."""
+    """_doc and _key tell rows apart and are never null, whatever the input; text is the text."""
     text = F.col(text_col)
-    return docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_key": F.xxhash64(text), "_text": text})
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(text).alias("_key"), text.alias("text"))
 
 
 def classes_of(docs: DataFrame, level: Column) -> DataFrame:
-    """One row per different line that has words: its name c, first place, number of tokens, prefix and map of tokens."""
+    """One row per different line that has words: its name c, first place, number of tokens n, prefix and maps of its tokens."""
     rows = lines_of(docs).select("_doc", "_key", "nth", "c", ranked(F.col("line"), level).alias("r")).filter(F.size("r") > 0)
-    bits = F.expr("aggregate(r, 0L, (m, x) -> m | shiftleft(1L, cast(x & 63 as int)))")
-    rows = rows.select("_doc", "_key", "nth", "c", F.size("r").alias("n"), F.slice("r", F.lit(1), listed(F.size("r"))).alias("prefix"), bits.alias("bits"))
-    first = F.min(F.struct("_doc", "nth", "_key"))
-    return rows.groupBy("c").agg(first.alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of classes (a < b) that pass the prefix, size, position and bit filters."""
-    posted = classes.select("c", "n", "bits", F.posexplode("prefix").alias("at", "p")).select(F.xxhash64("p").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("p"), "c", "n", "at", "bits")
-    left, right = (posted.select("p", *[F.col(c).alias(f"{c}_{x}") for c in ("c", "n", "at", "bits")]) for x in "ab")
-    total = F.col("n_a") + F.col("n_b")
-    sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    # Names of 31 bits are enough to be listed under: two that agree by chance only meet for nothing.
+    short = F.transform(F.slice("r", F.lit(1), listed(F.size("r"))), lambda x: F.xxhash64(x).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    maps = [F.expr(f"aggregate(r, 0L, (m, x) -> if((x & {MAPS - 1}) = {k}, m | shiftleft(1L, cast(shiftright(x, 8) & 63 as int)), m))").alias(f"m{k}") for k in range(MAPS)]
+    rows = rows.select("_doc", "_key", "nth", "c", F.size("r").alias("n"), short.alias("prefix"), *maps)
+    return rows.groupBy("c").agg(F.min(F.struct("_doc", "nth", "_key")).alias("first"), *[F.first(x).alias(x) for x in ("n", "prefix", *(f"m{k}" for k in range(MAPS)))])
+
+
+def may_be_similar(a: str, b: str) -> Column:
+    """Size, position and bit filters on two listings: all are necessary for similarity."""
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    total = n_a + n_b
+    sizes = 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
     # J >= t needs t / (1 + t) of both sizes in common: this token and what follows it must be enough.
-    common = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (100 + PERCENT) >= PERCENT * total
-    differ = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) * (100 + PERCENT) <= (100 - PERCENT) * total
-    return left.join(right, "p").filter((F.col("c_a") < F.col("c_b")) & sizes & common & differ).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+    common = F.least(n_a - F.col(f"{a}.at"), n_b - F.col(f"{b}.at")) * (100 + PERCENT) >= PERCENT * total
+    differ = sum((F.bit_count(F.col(f"{a}.m{k}").bitwiseXOR(F.col(f"{b}.m{k}"))) for k in range(MAPS)), F.lit(0))
+    return sizes & common & (differ * (100 + PERCENT) <= (100 - PERCENT) * total)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns as they were, with `_lines` (null without a text) and `_gone`, the places of those to remove."""
+def listings(classes: DataFrame, turn: int, *more: str) -> DataFrame:
+    """A row for each token that a class is listed under, of this turn's share of all tokens."""
+    rows = classes.select("c", "first", "n", *[f"m{k}" for k in range(MAPS)], *more, F.posexplode("prefix").alias("at", "p"))
+    return rows.filter(F.col("p") % TURNS == turn)
+
+
+def with_earliest(classes: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each class and the earliest class of every list it is in, if they may be similar. No more rows than listings."""
+    x = F.struct("c", "first", "n", "at", *[f"m{k}" for k in range(MAPS)])
+    rows = listings(classes, turn).select("p", x.alias("x")).withColumn("y", F.first("x").over(Window.partitionBy("p").orderBy("x.first")))
+    return rows.filter((F.col("x.c") != F.col("y.c")) & may_be_similar("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+
+
+def with_earlier(classes: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each class that is still `open` and every earlier one that shares a list with it and may be similar."""
+    rows = listings(classes, turn, "open")
+    x, y = rows.alias("x"), rows.alias("y")
+    meet = x.join(y, F.col("x.p") == F.col("y.p")).filter(F.col("x.open") & (F.col("y.first") < F.col("x.first")) & may_be_similar("x", "y"))
+    return meet.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """_d, _k and `_gone`, the places of the lines to remove, for each keyed text that has any.
+
+    Lists are gone through in TURNS shares, and shuffle files of finished steps are let go,
+    so that the disk holds one share at a time. First each class meets the earliest of its
+    lists only: that settles most of a large group of like lines in linear work. What is
+    still open meets all earlier classes of its lists.
+    """
     scratch = Scratch(docs.sparkSession)
+
+    def per_text(rows: DataFrame, name: str, value: Column) -> DataFrame:
+        return rows.groupBy(F.col("_doc").alias("_d"), F.col("_key").alias("_k")).agg(F.collect_set(value).alias(name))
+
+    def turns(step, classes: DataFrame) -> DataFrame:
+        found = []
+        for turn in range(TURNS):
+            found.append(scratch.write(step(classes, turn)))
+            scratch.sweep()
+        pairs = found[0]
+        for more in found[1:]:
+            pairs = pairs.union(more)
+        pairs = scratch.write(pairs.distinct())
+        scratch.drop(*found)
+        return pairs
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Classes a with a similar earlier class b, by their full sets, read from the texts of their first places."""
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(places, "c")
+        held = of_texts(docs, per_text(involved.select("c", "first.*"), "_wanted", F.struct("nth", "c")))
+        held = held.select(F.split("text", "\n").alias("lines"), F.explode("_wanted").alias("w"))
+        names = F.transform(tokens(F.col("lines")[F.col("w.nth")]), lambda x: F.xxhash64(x))
+        sets = scratch.write(held.select(F.col("w.c").alias("c"), names.alias("t")).dropDuplicates(["c"]))
+        side = lambda x: sets.select(F.col("c").alias(x), F.col("t").alias(f"t_{x}"))
+        joined = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("s", F.size(F.array_intersect("t_a", "t_b")))
+        found = scratch.write(joined.filter(100 * F.col("s") >= PERCENT * (F.size("t_a") + F.size("t_b") - F.col("s"))).select(F.col("a").alias("c")).distinct())
+        scratch.drop(sets)
+        return found
+
+    classes = scratch.write(classes_of(docs, rarity(docs)))
+    scratch.sweep()
+    places = scratch.write(classes.select("c", "first"))
+    later = confirmed(turns(with_earliest, classes))
+    scratch.sweep()
+    left = scratch.write(classes.join(later.withColumn("open", F.lit(False)), "c", "left").withColumn("open", F.coalesce("open", F.lit(True))))
+    scratch.drop(classes)
+    scratch.sweep()
+    pairs = turns(with_earlier, left)
+    scratch.drop(left)
+    later = scratch.write(later.union(confirmed(pairs)))
+    scratch.sweep()
+    status = places.join(later.withColumn("later", F.lit(True)), "c", "left")
+    here = F.struct("_doc", "nth", "_key")
+    gone = lines_of(docs).select("_doc", "_key", "nth", "c").join(status, "c").filter(F.coalesce("later", F.lit(False)) | (here != F.col("first")))
+    return per_text(gone, "_gone", F.col("nth"))
+
+
+def of_texts(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.join(right, (left["_doc"] == right["_d"]) & (left["_key"] == right["_k"]), "left").drop("_d", "_k")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, _key (the text's hash), n_lines, n_removed and kept_text (null for a null text)."""
     docs = keyed(docs, id_col, text_col)
-    bare = docs.select("_doc", "_key", "_text")
-    classes = scratch.write(classes_of(bare, rarity(bare)))
-    pairs = scratch.write(candidates(classes))
-
-    def per_text(rows: DataFrame, **lists: Column) -> DataFrame:
-        return rows.groupBy(F.col("_doc").alias("_d"), F.col("_key").alias("_k")).agg(*[F.collect_set(v).alias(k) for k, v in lists.items()])
-
-    def to_texts(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, (left["_doc"] == right["_d"]) & (left["_key"] == right["_k"]), "left").drop("_d", "_k")
-
-    # The lines to compare, from the texts that hold their first places.
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "first"), "c")
-    wanted = per_text(involved.select("c", "first.*"), _wanted=F.struct("nth", "c"))
-    docs = to_texts(docs, wanted)
-    held = docs.select(F.split("_text", "\n").alias("lines"), F.explode("_wanted").alias("w"))
-    sets = held.select(F.col("w.c").alias("c"), tokens(F.col("lines")[F.col("w.nth")]).alias("t")).dropDuplicates(["c"])
-    sets = sets.join(classes.select("c", "first"), "c")
-    side = lambda x: sets.select(*[F.col(k).alias(f"{v}{x}") for k, v in (("c", ""), ("t", "t_"), ("first", "first_"))])
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    similar = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("s", shared).filter(
-        100 * F.col("s") >= PERCENT * (F.size("t_a") + F.size("t_b") - F.col("s")))
-    later = similar.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("c")).distinct()
-    status = classes.select("c", "first").join(later.withColumn("later", F.lit(True)), "c", "left")
-    again = F.col("later") | (F.struct("_doc", "nth", "_key") != F.col("first"))
-    gone = lines_of(bare).select("_doc", "_key", "nth", "c").join(status, "c").filter(F.coalesce(again, F.struct("_doc", "nth", "_key") != F.col("first")))
-    out = to_texts(docs, per_text(gone, _gone=F.col("nth"))).withColumns({"_lines": F.split("_text", "\n"), "_gone": F.coalesce("_gone", F.array().cast("array<int>"))})
-    return out.drop("_doc", "_key", "_text", "_wanted")
-
-
-def kept_text() -> Column:
-    """The lines that stay, joined by line feeds; null for a null text."""
-    return F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    found = of_texts(docs, repeated_lines(docs)).withColumns({"_lines": F.split("text", "\n"), "_gone": F.coalesce("_gone", F.array().cast("array<int>"))})
+    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    return found.select(
+        F.nullif("_doc", F.lit(NO_ID)).alias("doc_id"), "_key", F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.size("_gone").cast("long").alias("n_removed"), kept.alias("kept_text"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_sha256."""
-    found = dedup_lines(docs.select("doc_id", "text"))
-    return found.select("doc_id", F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"),
-                        F.sha2(F.coalesce(kept_text(), F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their repeated lines, all columns kept; n_chars, if there, is counted anew."""
-    found = dedup_lines(docs).withColumn("text", kept_text())
+    found = dedup_lines(docs).groupBy("doc_id", "_key").agg(F.first("kept_text").alias("_kept"), F.max("n_removed").alias("_removed")).withColumnRenamed("doc_id", "_id")
+    rest = docs.withColumn("_text_key", F.xxhash64("text")).drop("text")
+    out = rest.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
+    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("_kept")}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("_removed") > 0, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[v.alias(c) for c, v in columns.items()])
 
 
 SQL = r"""
 WITH split_ AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents
 ), lines AS (
-  SELECT doc_id, nth, line, list_distinct(regexp_extract_all(line, '[^ 	-]+')) AS t FROM split_
+  SELECT doc_id, nth, line, list_distinct(regexp_extract_all(line, '[^ 	-
+]+')) AS t FROM split_
 ), classes AS (
   SELECT line, any_value(t) AS t, any_value(len(t)) AS n, min(struct_pack(doc_id, nth)) AS first FROM lines WHERE len(t) > 0 GROUP BY line
 ), words AS (

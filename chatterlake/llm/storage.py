@@ -6,6 +6,7 @@ again: a lost executor then costs a few tasks, not the whole history.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.frames: list[DataFrame] = []
         self.n = 0
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        out._scratch = self  # keeps ids of live frames apart
+        self.frames.append(out)  # an id belongs to one frame while it lives
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -51,5 +53,7 @@ class Scratch:
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of plans that are done and referred to no more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
