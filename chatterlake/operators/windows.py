@@ -6,23 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def holding(counts: DataFrame, unit: str, wanted: Column) -> DataFrame:
+    """One row: the unit (of counts: unit, n) that holds the wanted-th row in order of units, and its place in there (from 1); none if wanted is 0."""
+    running = Window.orderBy(unit).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counts.select(unit, "n", F.sum("n").over(running).alias("upto")).withColumn("wanted", wanted)
+    return rows.filter("upto >= wanted and upto - n < wanted").select(F.col(unit).alias("held"), (F.col("wanted") - (F.col("upto") - F.col("n"))).alias("place"))
+
+
 def half_split(rows: DataFrame, at: str, row_id: str) -> DataFrame:
     """rows with `half`: previous for the first n // 2 by (at, row_id), current for the rest; null if at is null or n < 2.
 
-    The cut falls in one day, found from counts per day; only that day's rows are ranked.
+    The cut is found from counts per day, then per second of its day; only the rows of its
+    second are ranked, so no task sorts all rows.
     """
-    dated = rows.filter(F.col(at).isNotNull())
-    days = dated.groupBy(F.to_date(at).alias("_day")).agg(F.count("*").alias("_n"))
-    running = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy(F.lit(1))
-    days = days.select("_day", "_n", F.sum("_n").over(running).alias("_upto"), F.floor(F.sum("_n").over(everything) / 2).alias("_cut"), F.sum("_n").over(everything).alias("_total"))
-    cut = days.filter("_total >= 2 and _upto >= _cut and _upto - _n < _cut").select(F.col("_day").alias("_cut_day"), (F.col("_cut") - (F.col("_upto") - F.col("_n"))).alias("_first"))
-    in_day = dated.join(F.broadcast(cut), F.to_date(at) == F.col("_cut_day"))
+    dated = rows.filter(F.col(at).isNotNull()).select(at, row_id, F.to_date(at).alias("day"), F.date_trunc("second", at).alias("second"))
+    half = dated.select(F.floor(F.count("*") / 2)).scalar()
+    day = holding(dated.groupBy("day").agg(F.count("*").alias("n")), "day", half)
+    in_day = dated.join(F.broadcast(day), F.col("day") == F.col("held")).drop("held")
+    second = holding(in_day.groupBy("second").agg(F.count("*").alias("n")), "second", day.select("place").scalar())
+    in_second = in_day.drop("place").join(F.broadcast(second), F.col("second") == F.col("held"))
     rank = F.row_number().over(Window.orderBy(at, row_id))
-    # The last row of the previous half: one row.
-    last = in_day.select(at, row_id, "_first").withColumn("_rank", rank).filter(F.col("_rank") == F.col("_first")).select(F.col(at).alias("_last_at"), F.col(row_id).alias("_last_id"))
-    # One row or none: as a scalar it needs no join.
-    edge = last.select(F.struct(F.col("_last_at").alias("at"), F.col("_last_id").alias("id"))).scalar()
+    last = in_second.withColumn("rank", rank).filter("rank = place")
+    # The last row of the previous half, one or none: as a scalar it needs no join.
+    edge = last.select(F.struct(F.col(at).alias("at"), F.col(row_id).alias("id"))).scalar()
     previous = F.struct(F.col(at).alias("at"), F.col(row_id).alias("id")) <= F.col("_edge")
     return rows.withColumn("_edge", edge).withColumn(
         "half", F.when(F.col(at).isNull() | F.col("_edge").isNull(), F.lit(None)).when(previous, "previous").otherwise("current")).drop("_edge")
