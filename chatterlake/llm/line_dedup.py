@@ -30,7 +30,7 @@ PERCENT = 75
 #: Hash buckets whose counts order tokens; their table is this long at any scale.
 BUCKETS = 1 << 16
 #: Lists are gone through in so many shares; maps of tokens have so many longs (a power of two).
-TURNS, MAPS = 4, 4
+TURNS, MAPS = 2, 4
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 BLANK = r"[\x09-\x0D\x20]+"
@@ -87,35 +87,46 @@ def classes_of(docs: DataFrame, level: Column) -> DataFrame:
     return rows.groupBy("c").agg(F.min(F.struct("_doc", "nth", "_key")).alias("first"), *[F.first(x).alias(x) for x in ("n", "prefix", *(f"m{k}" for k in range(MAPS)))])
 
 
+def listings(classes: DataFrame, turn: int) -> DataFrame:
+    """A narrow row for each token that a class is listed under, of this turn's share of all tokens.
+
+    line: its place in the text, twice, plus 1 while the class is open. sizes: n in the
+    upper, the token's place in the prefix in the lower half.
+    """
+    rows = classes.select("c", F.col("first._doc").alias("doc"), (F.col("first.nth").cast("long") * 2 + F.col("open").cast("long")).alias("line"), "n", *[f"m{k}" for k in range(MAPS)], F.posexplode("prefix").alias("at", "p"))
+    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    return rows.filter(F.col("p") % TURNS == turn).select("p", "c", "doc", "line", sizes.alias("sizes"), *[f"m{k}" for k in range(MAPS)])
+
+
 def may_be_similar(a: str, b: str) -> Column:
     """Size, position and bit filters on two listings: all are necessary for similarity."""
-    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    total = n_a + n_b
-    sizes = 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
+    n = lambda x: F.shiftright(F.col(f"{x}.sizes"), 32)
+    left = lambda x: n(x) - F.col(f"{x}.sizes").bitwiseAND(F.lit(0xFFFFFFFF))
+    total = n(a) + n(b)
+    sizes = 100 * F.least(n(a), n(b)) >= PERCENT * F.greatest(n(a), n(b))
     # J >= t needs t / (1 + t) of both sizes in common: this token and what follows it must be enough.
-    common = F.least(n_a - F.col(f"{a}.at"), n_b - F.col(f"{b}.at")) * (100 + PERCENT) >= PERCENT * total
+    common = F.least(left(a), left(b)) * (100 + PERCENT) >= PERCENT * total
     differ = sum((F.bit_count(F.col(f"{a}.m{k}").bitwiseXOR(F.col(f"{b}.m{k}"))) for k in range(MAPS)), F.lit(0))
     return sizes & common & (differ * (100 + PERCENT) <= (100 - PERCENT) * total)
 
 
-def listings(classes: DataFrame, turn: int, *more: str) -> DataFrame:
-    """A row for each token that a class is listed under, of this turn's share of all tokens."""
-    rows = classes.select("c", "first", "n", *[f"m{k}" for k in range(MAPS)], *more, F.posexplode("prefix").alias("at", "p"))
-    return rows.filter(F.col("p") % TURNS == turn)
-
-
 def with_earliest(classes: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b): each class and the earliest class of every list it is in, if they may be similar. No more rows than listings."""
-    x = F.struct("c", "first", "n", "at", *[f"m{k}" for k in range(MAPS)])
-    rows = listings(classes, turn).select("p", x.alias("x")).withColumn("y", F.first("x").over(Window.partitionBy("p").orderBy("x.first")))
+    rows = listings(classes, turn)
+    x = F.struct("c", "sizes", *[f"m{k}" for k in range(MAPS)])
+    rows = rows.select(x.alias("x"), F.first(x).over(Window.partitionBy("p").orderBy("doc", "line", "c")).alias("y"))
     return rows.filter((F.col("x.c") != F.col("y.c")) & may_be_similar("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
 
 def with_earlier(classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): each class that is still `open` and every earlier one that shares a list with it and may be similar."""
-    rows = listings(classes, turn, "open")
+    """Pairs (a, b): each class that is still open and every earlier one that shares a list with it and may be similar."""
+    rows = listings(classes, turn)
     x, y = rows.alias("x"), rows.alias("y")
-    meet = x.join(y, F.col("x.p") == F.col("y.p")).filter(F.col("x.open") & (F.col("y.first") < F.col("x.first")) & may_be_similar("x", "y"))
+    nth = lambda r: F.shiftright(F.col(f"{r}.line"), 1)
+    earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & ((nth("y") < nth("x")) | ((nth("y") == nth("x")) & (F.col("y.c") < F.col("x.c")))))
+    # One condition on both sides, so that the sides stay alike and one shuffle serves both.
+    open_and_earlier = F.least(F.col("x.line").bitwiseAND(F.lit(1)), earlier.cast("long")) == 1
+    meet = x.join(y, F.col("x.p") == F.col("y.p")).filter(open_and_earlier & may_be_similar("x", "y"))
     return meet.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
 
@@ -160,7 +171,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     classes = scratch.write(classes_of(docs, rarity(docs)))
     scratch.sweep()
     places = scratch.write(classes.select("c", "first"))
-    later = confirmed(turns(with_earliest, classes))
+    later = confirmed(turns(with_earliest, classes.withColumn("open", F.lit(True))))
     scratch.sweep()
     left = scratch.write(classes.join(later.withColumn("open", F.lit(False)), "c", "left").withColumn("open", F.coalesce("open", F.lit(True))))
     scratch.drop(classes)

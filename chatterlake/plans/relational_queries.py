@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import entities, store
+from ..operators import entities, nlp, store
 from ..sources import envelopes
 from . import adapters as A
+from . import payloads as P
 from . import reports as R
 from .registry import listing
 
@@ -186,3 +187,69 @@ def publish_documents(spark, sf_dir):
 @query("SELECT * FROM labels WHERE quality = 1 UNION ALL SELECT * FROM labels WHERE NOT EXISTS (SELECT 1 FROM labels WHERE quality = 1)")
 def reportable_fallback(spark, sf_dir):
     return R.reportable(A.table(spark, sf_dir, "labels"), "quality", 1)
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)showroom') OR doc_id % 5 = 1 THEN 'SUPPORT' WHEN doc_id % 5 = 0 THEN 'CRISIS' WHEN doc_id % 5 = 2 THEN 'SPAM' ELSE 'DISCUSSION' END AS intent,
+  CASE doc_id % 5 WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN 0.6::DOUBLE WHEN 2 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS confidence, doc_id % 5 = 2 AS skip FROM documents""")
+def intent_classifier(spark, sf_dir):
+    k = F.col("doc_id") % 5
+    cue = F.when(k == 0, " Scam phốt showroom").when(k == 1, " SHOWROOM").when(k == 2, " vay  vốn").otherwise("")
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", nlp.intent(F.concat(F.col("text"), cue)).alias("r"))
+    return rows.select("doc_id", "r.*")
+
+
+@query("""WITH s AS (SELECT user_id AS mention_id, event_type AS aspect, (value - 20) / 40 AS score, (event_id % 8 + 1) / 8.0::DOUBLE AS confidence, event_id % 5 + 1 AS rating FROM events),
+  g AS (SELECT mention_id, aspect, round(sum(score * confidence) / sum(confidence), 4) AS score, round(avg(confidence), 4) AS confidence, CAST(round(avg(rating)) AS INTEGER) AS rating, count(*) AS mentions FROM s GROUP BY ALL)
+  SELECT *, CASE WHEN score > 0.25 THEN 'POSITIVE' WHEN score < -0.25 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label FROM g""")
+def aspect_sentiment(spark, sf_dir):
+    k = F.col("event_id")
+    rows = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("mention_id"), F.col("event_type").alias("aspect"), ((F.col("value") - 20) / 40).alias("score"), ((k % 8 + 1) / 8).alias("confidence"), (k % 5 + 1).alias("rating"))
+    return nlp.aspect_sentiment(rows)
+
+
+@query("""SELECT user_id AS mention_id, round(least(least(count(*) / 30.0::DOUBLE, 1.0) + least(count(DISTINCT event_type) / 4.0::DOUBLE, 0.2) + least(count(DISTINCT event_id % 3) / 5.0::DOUBLE, 0.15) + least(var_pop(value / 100), 0.15), 1.0::DOUBLE), 6) AS confidence FROM events WHERE event_id % 40 = 0 GROUP BY 1""")
+def keyword_confidence(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "events").filter("event_id % 40 = 0")
+    return nlp.keyword_confidence(rows.select(F.col("user_id").alias("mention_id"), F.col("event_type").alias("type"), (F.col("value") / 100).alias("score"), (F.col("event_id") % 3).alias("entity_type")))
+
+
+@query(r"""WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS t FROM documents), w AS (SELECT * FROM (VALUES ('price', 'the'), ('quality', 'in the'), ('price', 'zu')) v(aspect, term))
+  SELECT doc_id AS mention_id, term, aspect FROM d JOIN w ON contains(t, ' ' || term || ' ')""")
+def dictionary_keywords(spark, sf_dir):
+    terms = spark.createDataFrame([("price", "the"), ("quality", "in the"), ("price", "zu")], "aspect string, term string")
+    return nlp.dictionary_keywords(A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("mention_id"), "text"), terms)
+
+
+@query()
+def keyword_context(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", nlp.context(F.col("text"), F.lit("trash")).alias("context"))
+
+
+def results(spark, sf_dir):
+    k = F.col("doc_id")
+    return A.table(spark, sf_dir, "documents").select(
+        k.alias("id"), F.col("lang").alias("project_id"), F.upper("source").alias("platform"), F.when(k % 4 == 0, "SPAM").otherwise("LEAD").alias("intent"), (k % 6 == 1).alias("is_spam"),
+        F.when(k % 3 == 0, "HIGH").otherwise("LOW").alias("risk_level"), F.when(k % 2 == 0, "neg").otherwise("odd").alias("sentiment"), "text")
+
+
+@query("SELECT doc_id AS id, lower(source) AS platform, CASE WHEN doc_id % 3 = 0 THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END AS risk_score, doc_id % 4 = 0 OR doc_id % 6 = 1 AS is_spam, doc_id % 3 = 0 AS requires_attention FROM documents")
+def store_projection(spark, sf_dir):
+    return P.store_rows(results(spark, sf_dir)).select("id", "platform", "risk_score", "is_spam", "requires_attention")
+
+
+@query("SELECT doc_id AS id, 'OTHER' AS platform, CASE WHEN doc_id % 2 = 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS sentiment, doc_id % 3 = 0 AS alert, length(text) >= 10 AND doc_id % 4 <> 0 AS should_index FROM documents")
+def insight_messages(spark, sf_dir):
+    m = F.col("message")
+    got = lambda path: F.get_json_object(m, path)
+    return P.messages(results(spark, sf_dir)).select("id", got("$.identity.platform").alias("platform"), got("$.nlp.sentiment").alias("sentiment"), (got("$.business.alert") == "true").alias("alert"), (got("$.rag.should_index") == "true").alias("should_index"))
+
+
+@query("SELECT event_type, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') || ' to ' || strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS window, 'run-' || strftime(min(ts), '%Y%m%dT%H%M%SZ') AS run_id FROM events GROUP BY 1")
+def window_labels(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return rows.select("event_type", P.window_label(F.col("a"), F.col("b")).alias("window"), P.run_id(F.col("a")).alias("run_id"))
+
+
+@query()
+def report_contracts(spark, sf_dir):
+    return P.contracts(spark)

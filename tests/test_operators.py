@@ -13,7 +13,8 @@ from chatterlake.functions import language as L
 from chatterlake.functions import numbers as N
 from chatterlake.functions import scores as S
 from chatterlake.functions import text as T
-from chatterlake.operators import dedup, entities, semantics, spam, store, threads, windows
+from chatterlake.operators import dedup, entities, nlp, semantics, spam, store, threads, windows
+from chatterlake.plans import payloads as P
 from chatterlake.plans import reports as R
 from chatterlake.sources import dictionaries, envelopes, files
 from chatterlake.streaming import events as E
@@ -217,3 +218,22 @@ def test_stream_equals_batch(spark, tmp_path):
     E.run_batches(stream, lambda frame, _: seen.extend(r.event_id for r in frame.select("event_id").collect()), f"{tmp_path}/cp").awaitTermination()
     assert sorted(seen) == sorted(r.event_id for r in source.select("event_id").collect())
     assert E.publish_in_order([("a", lambda: None), ("b", lambda: None)]) == ["a", "b"]
+
+
+def test_nlp_rules_and_plug_in_scorer(spark):
+    assert tuple(value(spark, nlp.intent(F.lit("Bán sim, thất vọng")))) == ("SPAM", 0.6, True)
+    assert tuple(value(spark, nlp.intent(F.lit("hello")))) == ("DISCUSSION", 1.0, False)
+    around = lambda t, k, r=100: value(spark, nlp.context(F.lit(t), F.lit(k), r))
+    assert around("It was late. The battery is great, but pricey", "battery") == "The battery is great"
+    assert around("no such word here", "battery") == "no such word here"
+    assert around("aaa bbbbbb battery cccccc ddd", "battery", 4) == "bbbbbb battery cccccc"
+    nlp.register_scorer("model", nlp.batch_scorer(lambda: lambda texts: [("POS" if "good" in t else "NEG", 0.9) for t in texts]))
+    rows = spark.createDataFrame([(1, "good"), (2, "else"), (3, None)], "mention_id long, text string")
+    assert {r.mention_id: (r.sentiment, r.score) for r in nlp.sentiment(rows, "model").collect()} == {1: ("POS", 0.5), 2: ("NEG", -0.5), 3: ("NEU", 0.0)}
+    assert tuple(value(spark, nlp.model_score(F.lit("POSITIVE")))) == (0.5, 4)
+
+
+def test_payload_maps(spark):
+    assert value(spark, P.platform(F.lit("TikTok"))) == "TIKTOK" and value(spark, P.platform(F.lit("x"))) == "OTHER"
+    assert value(spark, P.signed(F.lit("NEGATIVE"), F.lit(0.4))) == -0.4 and value(spark, P.priority(F.lit(0.5))) == "MEDIUM"
+    assert value(spark, P.media_type(F.array(F.struct(F.lit("Photo").alias("type"))))) == "image"
