@@ -198,12 +198,12 @@ def intent_classifier(spark, sf_dir):
     return rows.select("doc_id", "r.*")
 
 
-@query("""WITH s AS (SELECT user_id AS mention_id, event_type AS aspect, (value - 20) / 40 AS score, (event_id % 8 + 1) / 8.0::DOUBLE AS confidence, event_id % 5 + 1 AS rating FROM events),
+@query("""WITH s AS (SELECT user_id AS mention_id, event_type AS aspect, (event_id % 17 - 8) / 8.0::DOUBLE AS score, (event_id % 8 + 1) / 8.0::DOUBLE AS confidence, event_id % 5 + 1 AS rating FROM events),
   g AS (SELECT mention_id, aspect, round(sum(score * confidence) / sum(confidence), 4) AS score, round(avg(confidence), 4) AS confidence, CAST(round(avg(rating)) AS INTEGER) AS rating, count(*) AS mentions FROM s GROUP BY ALL)
   SELECT *, CASE WHEN score > 0.25 THEN 'POSITIVE' WHEN score < -0.25 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label FROM g""")
 def aspect_sentiment(spark, sf_dir):
     k = F.col("event_id")
-    rows = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("mention_id"), F.col("event_type").alias("aspect"), ((F.col("value") - 20) / 40).alias("score"), ((k % 8 + 1) / 8).alias("confidence"), (k % 5 + 1).alias("rating"))
+    rows = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("mention_id"), F.col("event_type").alias("aspect"), ((k % 17 - 8) / 8).alias("score"), ((k % 8 + 1) / 8).alias("confidence"), (k % 5 + 1).alias("rating"))
     return nlp.aspect_sentiment(rows)
 
 
