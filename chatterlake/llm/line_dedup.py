@@ -30,7 +30,7 @@ PERCENT = 75
 #: Hash buckets whose counts order tokens; their table is this long at any scale.
 BUCKETS = 1 << 16
 #: Lists are gone through in so many shares; maps of tokens have so many longs (a power of two).
-TURNS, MAPS = 2, 4
+TURNS, MAPS = 6, 4
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 BLANK = r"[\x09-\x0D\x20]+"
