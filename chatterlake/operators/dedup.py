@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lineage import cut
 
 #: Similarity of near duplicates, on the value rounded to four digits.
 SIMILAR = 0.82
@@ -56,20 +57,13 @@ def near_pairs(mentions: DataFrame, least: float = SIMILAR) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """node and component (smallest reachable node) of edges (a, b); lineage is cut each round, in the checkpoint folder."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chatterlake-"))
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")).checkpoint()
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
     for _ in range(rounds):
         offers = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("offer"))
         lowered = labels.join(offers, "node").select("node", F.least("component", "offer").alias("component"))
         up = lowered.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        after = lowered.join(up, "component", "left").select("node", F.least("component", "up").alias("component")).checkpoint()
+        after = cut(lowered.join(up, "component", "left").select("node", F.least("component", "up").alias("component")))
         moved = after.join(labels.withColumnRenamed("component", "was"), "node").filter("component < was").limit(1).count()
         labels = after
         if not moved:

@@ -16,6 +16,7 @@ from chatterlake.functions import text as T
 from chatterlake.operators import dedup, entities, nlp, semantics, spam, store, threads, windows
 from chatterlake.plans import payloads as P
 from chatterlake.plans import reports as R
+from chatterlake.plans.pipeline import Options, run_batch
 from chatterlake.sources import dictionaries, envelopes, files
 from chatterlake.streaming import events as E
 
@@ -237,3 +238,24 @@ def test_payload_maps(spark):
     assert value(spark, P.platform(F.lit("TikTok"))) == "TIKTOK" and value(spark, P.platform(F.lit("x"))) == "OTHER"
     assert value(spark, P.signed(F.lit("NEGATIVE"), F.lit(0.4))) == -0.4 and value(spark, P.priority(F.lit(0.5))) == "MEDIUM"
     assert value(spark, P.media_type(F.array(F.struct(F.lit("Photo").alias("type"))))) == "image"
+
+
+def test_batch_pipeline(spark):
+    def message(i, text, parent=None, kind="post"):
+        return json.dumps({"uap_version": "1.0", "ingest": {"project_id": "p", "source": {"source_type": "Facebook"}}, "content": {
+            "doc_id": f"d{i}", "doc_type": kind, "text": text, "published_at": f"2024-01-{1 + i % 28:02d}T00:00:00Z", "author": {"author_id": f"a{i % 3}"}, "parent": {"parent_id": parent}},
+            "signals": {"engagement": {"like_count": i}}})
+
+    rows = [message(i, f"The Acme phone is {'good' if i % 2 else 'trash and stupid'} and the price of it was number {i}") for i in range(12)]
+    rows += [message(20, "What is this about the Acme trash?", "d0", "comment"), message(21, "It is the same for me and for you", "d20", "reply"), message(22, "?"), "junk"]
+    ontology = spark.createDataFrame([("e:acme", "Acme", ["The Acme"], 0)], "entity_id string, name string, aliases array<string>, ord int")
+    out = run_batch(spark.createDataFrame([(r,) for r in rows], "value string"), ontology)
+    assert {r.reject_reason for r in out["rejected"].collect()} == {"unknown_format"}
+    assert out["fact_mentions"].count() == 14
+    sov = out["sov_report"].collect()
+    assert sov[0].entity_id == "e:acme" and sov[0].mention_count >= 12
+    assert {r.issue_category for r in out["top_issues_report"].collect()} == {"insult", "disgust"}
+    found = {r.root_id: r.total_mentions for r in out["fact_threads"].collect()}
+    assert found["d0"] == 2 and out["crisis"].count() == 1 and out["insight_cards"].count() >= 2
+    few = run_batch(spark.createDataFrame([(r,) for r in rows], "value string"), options=Options(off=frozenset({"dedup", "spam", "enrichment"})))
+    assert "sov_report" not in few and few["fact_mentions"].count() == 14
