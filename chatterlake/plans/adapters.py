@@ -12,9 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than cores dealt out to all cores; larger tables as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as mentions: author and platform are the source."""
-    raw = table(spark, sf_dir, "documents")
+    raw = spread(table(spark, sf_dir, "documents"))
     rows = raw.select(F.col("doc_id").alias("mention_id"), F.col("source").alias("author_id"), F.col("source").alias("platform"), "lang", T.squeeze(F.col("text")).alias("text"), F.lit(0).alias("depth"))
     return rows.withColumns({"urls": T.urls(F.col("text")), "hashtags": T.hashtags(F.col("text")), "normalized": F.col("text"), "compact": T.compact(F.col("text"))})
 
