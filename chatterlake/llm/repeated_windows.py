@@ -36,25 +36,30 @@ WINDOW, ROUNDS = 35, 6
 FAR = 1 << 40
 
 
-def runs_named(sym, doc, low, high):
-    """Each run of one symbol within a text becomes one symbol; its neighbours decide where it ends."""
+def runs_named(sym, doc, low, high, at, words):
+    """Each run of one symbol within a text, of one too, becomes one symbol; its neighbours decide where it ends.
+
+    A neighbour whose nearest word differs from the word in its place in the symbol is another symbol whatever it is:
+    that word is all the run depends on. Else all that decides the neighbour counts.
+    """
     n = len(sym)
     same = np.zeros(n, bool)
     same[1:] = (sym[1:] == sym[:-1]) & (doc[1:] == doc[:-1])
     first = np.flatnonzero(~same)
-    if len(first) == n:
-        return sym, doc, low, high
     last = np.append(first[1:], n) - 1
     length = last - first + 1
-    run = length > 1
-    name = np.where(run, T.mix(sym[first] + length.astype(T.U64) * T.STEP), sym[first])
+    name = np.where(length > 1, T.mix(sym[first] + length.astype(T.U64) * T.STEP), sym[first])
+    begin, end = at[first], np.append(at[first[1:]], len(words))
+    own_end = np.append(at[1:], len(words))[first]
     before, after = np.maximum(first - 1, 0), np.minimum(last + 1, n - 1)
-    low_before = np.where((first > 0) & (doc[before] == doc[first]), low[before], -FAR)
-    high_after = np.where((last < n - 1) & (doc[after] == doc[first]), high[after], FAR)
-    return name, doc[first], np.where(run, np.minimum(low[first], low_before), low[first]), np.where(run, np.maximum(high[last], high_after), high[last])
+    low_before = np.where(words[begin - 1] != words[own_end - 1], begin - 1, low[before])
+    high_after = np.where(words[np.minimum(end, len(words) - 1)] != words[begin], end + 1, high[after])
+    low_before = np.where((first > 0) & (doc[before] == doc[first]), low_before, -FAR)
+    high_after = np.where((last < n - 1) & (doc[after] == doc[first]), high_after, FAR)
+    return name, doc[first], np.minimum(np.minimum.reduceat(low, first), low_before), np.maximum(np.maximum.reduceat(high, first), high_after), begin
 
 
-def pairs_named(sym, doc, low, high, turn: int):
+def pairs_named(sym, doc, low, high, at, turn: int):
     """Every heads-tails pair within a text becomes one symbol; the others depend on the neighbour that they missed."""
     n = len(sym)
     salt = T.mix(np.array([turn + 1], T.U64))[0]
@@ -72,18 +77,18 @@ def pairs_named(sym, doc, low, high, turn: int):
     keep = np.flatnonzero(~second)
     paired, mate = pair[keep], np.minimum(keep + 1, n - 1)
     name = np.where(paired, T.mix(sym[keep] * T.BASE + T.mix(sym[mate])), sym[keep])
-    return name, doc[keep], np.where(paired, np.minimum(low[keep], low[mate]), low[keep]), np.where(paired, np.maximum(high[keep], high[mate]), high[keep])
+    return name, doc[keep], np.where(paired, np.minimum(low[keep], low[mate]), low[keep]), np.where(paired, np.maximum(high[keep], high[mate]), high[keep]), at[keep]
 
 
 def symbols(words: np.ndarray, first: np.ndarray):
     """Symbols after all rounds: name, text, and the span of words that decides each (in places of the whole batch)."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     low = np.arange(len(words), dtype=np.int64)
-    state = (words, doc, low, low + 1)
+    state = (words, doc, low, low + 1, low)
     for turn in range(ROUNDS):
-        if len(state[0]):
-            state = pairs_named(*runs_named(*state), turn)
-    return state
+        if len(words):
+            state = pairs_named(*runs_named(*state, words), turn)
+    return state[:4]
 
 
 def parsed(texts: pa.Array):

@@ -42,3 +42,14 @@ def test_empty_table_null_id_and_clashing_columns(spark):
     docs = spark.createDataFrame([(None, text, 1, "a"), (5, text + " tail", 1, "a"), (None, "short", 1, None)], "doc_id long, text string, id long, ranges string")
     got = {(r.doc_id, r.n_words): (r.n_removed, r.kept_text) for r in remove_repeats(docs).collect()}
     assert got == {(None, 40): (40, ""), (5, 41): (40, "tail"), (None, 1): (0, "short")}
+
+
+def test_copies_beside_their_own_edge_word(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(4000):
+        p = [f"p{k}_{i}" for i in range(35 + k % 3)]
+        side = [f"{x}{k}_{rng.randrange(9)}" for x in ("u", "v")]
+        rows.append((2 * k, " ".join([side[0], *p, side[1]])))
+        rows.append((2 * k + 1, " ".join([side[1], *p, p[-1], "t"] if k % 2 else ["t", p[0], *p, side[0]])))
+    held_against_brute(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")), rows)
