@@ -17,6 +17,7 @@ Rows that repeat a doc_id are packed one by one. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -35,18 +36,24 @@ CAPACITY, END = 2048, 0
 GROUP = 512
 #: Texts tokenized at a time.
 AT_ONCE = 64
-#: The same vocabulary as byte_bpe_50k.json, as ranks; ids are alike for all texts.
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The same vocabulary as byte_bpe_50k.json, as ranks; ids are alike but for the added tokens, which only the JSON lists.
+VOCABULARY, LISTED = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_encodings: dict[int, tiktoken.Encoding] = {}
+_encodings: dict[tuple, tiktoken.Encoding] = {}
 
 
-def encoding(ranks: bytes) -> tiktoken.Encoding:
-    key = zlib.crc32(ranks)
+def added_tokens() -> dict[str, int]:
+    """The tokens that the tokenizer finds in texts before it splits them, and their ids."""
+    with open(public_tokenizers.path(LISTED), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoding(ranks: bytes, added: dict[str, int]) -> tiktoken.Encoding:
+    key = (zlib.crc32(ranks), *sorted(added.items()))
     if key not in _encodings:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _encodings[key] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        _encodings[key] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
     return _encodings[key]
 
 
@@ -56,19 +63,19 @@ def cuts(n: int, capacity: int) -> list[int]:
     return [0, *range(first, n + 1, capacity)]
 
 
-def tokenized(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, capacity: int, added: dict[str, int]) -> DataFrame:
     """A row for each piece of each document: its ids' place, number and checksum."""
     with open(vocabulary, "rb") as f:
         ranks = f.read()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoding(ranks)
+        tokens = encoding(ranks, added)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for a in range(0, len(texts), AT_ONCE):
                 out: list = [[], [], [], [], []]
                 for k in range(a, min(a + AT_ONCE, len(texts))):
-                    own = np.array([*tokens.encode_ordinary(texts[k].as_py() or ""), END], "<u4")
+                    own = np.array([*tokens.encode(texts[k].as_py() or "", allowed_special="all"), END], "<u4")
                     at = cuts(len(own), capacity)
                     for p, (x, y) in enumerate(zip(at, at[1:])):
                         for column, value in zip(out, (k, p, x, y - x, zlib.crc32(own[x:y].tobytes())), strict=True):
@@ -208,10 +215,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
     return np.array(sorted(runs), np.int64).reshape(-1, 5), sequence
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    added: tokens that stand for themselves wherever a text has them; without it they are ordinary text.
+    """
     scratch = Scratch(docs.sparkSession)
-    pieces = scratch.write(tokenized(docs, vocabulary or public_tokenizers.path(VOCABULARY), capacity))
+    pieces = scratch.write(tokenized(docs, vocabulary or public_tokenizers.path(VOCABULARY), capacity, added or {}))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     runs, _ = plan(counts, capacity)
     salts = -(-max(counts.values(), default=1) // GROUP)

@@ -18,7 +18,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added=packing.added_tokens())
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from chatterlake.llm import packing as P
+from chatterlake.llm import queries
 
 
 def expanded(counts, runs):
@@ -104,3 +105,15 @@ def test_pieces_and_checksums_match_the_tokenizer(spark):
     gapless({k: sorted(v) for k, v in sequences.items()}, 2048)
     assert len(sequences) <= 1.05 * sum(r.length for r in rows) / 2048
     assert P.pack(docs.limit(0)).count() == 0
+
+
+def test_added_tokens_are_found_in_texts(spark, tmp_path):
+    texts = ["x <|endoftext|> y", "<|endoftext|><|endoftext|>", " a\n<|endoftext|>  b", "<|endoftext", "é<|endoftext|> x" * 900, "'s<|endoftext|>'s"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, t in enumerate(texts):
+        ids = np.array([*known.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        at = P.cuts(len(ids), 2048)
+        want += [(i, p, x, y - x, zlib.crc32(ids[x:y].tobytes())) for p, (x, y) in enumerate(zip(at, at[1:]))]
+    assert sorted(tuple(r)[:5] for r in queries.op2_packing(spark, str(tmp_path)).collect()) == want
