@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from .lineage import cut
 
 
 def edges(mentions: DataFrame, key: str = "origin_id") -> DataFrame:
@@ -14,17 +15,19 @@ def edges(mentions: DataFrame, key: str = "origin_id") -> DataFrame:
     return mentions.filter("parent_id is not null").select(F.col("parent_id").alias("src"), F.col(key).alias("dst"), "depth").join(parents, "src", "left_semi")
 
 
-def lineage(mentions: DataFrame, key: str = "origin_id", most: int = 16) -> DataFrame:
-    """Ancestors of each mention, the root first. Walks double their reach each round; a cycle ends after `most` steps."""
+def lineage(mentions: DataFrame, key: str = "origin_id") -> DataFrame:
+    """Ancestors of each mention, the root first. Walks double their reach each round until each is at its root; one that meets an id again ends there."""
     nodes = mentions.select(F.col(key).alias("id"), F.col("parent_id").alias("up"))
-    known = nodes.select("id")
-    state = nodes.join(known.withColumnRenamed("id", "up"), "up", "left_semi").select("id", F.array("up").alias("path"), F.col("up").alias("top"))
-    reach = 1
-    while reach < most:
-        above = state.select(F.col("id").alias("top"), F.col("path").alias("more"), F.col("top").alias("next"))
-        state = state.join(above, "top", "left").select("id", F.concat(F.coalesce("more", F.array().cast("array<string>")), "path").alias("path"), F.coalesce("next", "top").alias("top"))
-        reach *= 2
-    return nodes.select("id").join(state.select("id", "path"), "id", "left").select("id", F.coalesce("path", F.array().cast("array<string>")).alias("lineage"))
+    known = nodes.select("id").distinct()
+    parents = nodes.groupBy("id").agg(F.min("up").alias("up"))
+    # near: ancestors from the nearest on; top: the last of them, null when there are no more.
+    state = cut(parents.join(known.withColumnRenamed("id", "up"), "up", "left_semi").select("id", F.array("up").alias("near"), F.col("up").alias("top")))
+    while not state.filter("top is not null").isEmpty():
+        above = state.select(F.col("id").alias("top"), F.col("near").alias("more"), F.col("top").alias("next"))
+        walked = state.join(above, "top", "left").select("id", "next", F.concat("near", F.coalesce("more", F.array().cast("array<string>"))).alias("walk"))
+        once = walked.withColumn("near", F.array_remove(F.array_distinct("walk"), F.col("id")))
+        state = cut(once.select("id", "near", F.when(F.size("near") == F.size("walk"), F.col("next")).alias("top")))
+    return nodes.select("id").join(state.select("id", F.reverse("near").alias("path")), "id", "left").select("id", F.coalesce("path", F.array().cast("array<string>")).alias("lineage"))
 
 
 def siblings(mentions: DataFrame, key: str = "origin_id") -> DataFrame:

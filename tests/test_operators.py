@@ -259,3 +259,10 @@ def test_batch_pipeline(spark):
     assert found["d0"] == 2 and out["crisis"].count() == 1 and out["insight_cards"].count() >= 2
     few = run_batch(spark.createDataFrame([(r,) for r in rows], "value string"), options=Options(off=frozenset({"dedup", "spam", "enrichment"})))
     assert "sov_report" not in few and few["fact_mentions"].count() == 14
+
+
+def test_lineage_of_long_threads_and_cycles(spark):
+    rows = [(f"m{i}", f"m{i - 1}" if i else None) for i in range(50)] + [("a", "b"), ("b", "c"), ("c", "a"), ("tail", "a"), ("self", "self"), ("lost", "nowhere")]
+    paths = {r.id: r.lineage for r in threads.lineage(spark.createDataFrame(rows, "origin_id string, parent_id string")).collect()}
+    assert all(paths[f"m{i}"] == [f"m{k}" for k in range(i)] for i in range(50))
+    assert paths["a"] == ["c", "b"] and paths["tail"] == ["c", "b", "a"] and paths["self"] == [] and paths["lost"] == []
