@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .dedup import components
+from .lineage import cut
 
 #: Words that say nothing about a topic. Configuration: a small sample.
 STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "not", "you", "les", "des", "une", "que", "est", "der", "die", "und", "das", "los", "las", "cho", "của", "và", "là")
@@ -37,9 +38,23 @@ def sharing_pairs(tops: DataFrame, least: int = 2, common: float = 0.02) -> Data
     return left.join(right, "token").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
 
-def clusters(tops: DataFrame) -> DataFrame:
-    """topic_key, label (its three most frequent tokens), mentions, confidence of each group of linked mentions."""
-    found = components(sharing_pairs(tops).select("a", "b"))
+def sharing_links(tops: DataFrame) -> DataFrame:
+    """a < b whose components are those of all mentions that share two top tokens, however frequent: each mention
+    is linked to the smallest one that has the same two tokens, so links grow with mentions, not with their pairs."""
+    sets = tops.groupBy("mention_id").agg(F.array_sort(F.collect_set("token")).alias("t"))
+    two = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    rows = sets.select("mention_id", F.explode(two).alias("two"))
+    least = rows.groupBy("two").agg(F.min("mention_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("two", "a")
+    return rows.join(least, "two").filter("a < mention_id").select("a", F.col("mention_id").alias("b")).distinct()
+
+
+def clusters(tops: DataFrame, whole: bool = False) -> DataFrame:
+    """topic_key, label (its three most frequent tokens), mentions, confidence of each group of linked mentions.
+
+    whole: mentions are linked by any two tokens, else by those that `sharing_pairs` uses.
+    """
+    tops = cut(tops) if whole else tops
+    found = components(sharing_links(tops) if whole else sharing_pairs(tops).select("a", "b"))
     rows = tops.join(found.withColumnRenamed("node", "mention_id"), "mention_id")
     sizes = found.groupBy("component").agg(F.count("*").alias("mentions"))
     terms = rows.groupBy("component", "token").agg(F.sum("n").alias("uses"))

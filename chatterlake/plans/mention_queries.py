@@ -154,6 +154,19 @@ def topic_pairs(spark, sf_dir):
     return topics.sharing_pairs(topics.top_tokens(A.mentions(spark, sf_dir)))
 
 
+LABELLED = """terms AS (SELECT component, token, sum(n) AS uses FROM tops JOIN comp USING (mention_id) GROUP BY ALL),
+  best AS (SELECT component, string_agg(token, ' ' ORDER BY k) AS label FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY uses DESC, token) AS k FROM terms) WHERE k <= 3 GROUP BY 1)
+  SELECT substr(md5(label), 1, 8) AS topic_key, component AS first_mention, label, count(*) AS mentions, round(least(0.35::DOUBLE + 0.05::DOUBLE * count(*), 0.85::DOUBLE), 4) AS confidence FROM comp JOIN best USING (component) GROUP BY component, label"""
+
+
+@query(f"""WITH RECURSIVE {TOPS}, sharing AS (SELECT a.mention_id AS a, b.mention_id AS b FROM tops a JOIN tops b ON a.token = b.token AND a.mention_id < b.mention_id GROUP BY ALL HAVING count(*) >= 2),
+  links AS (SELECT a, b FROM sharing UNION SELECT b, a FROM sharing), walk AS (SELECT a AS n, a AS r FROM links UNION SELECT w.n, l.b FROM walk w JOIN links l ON l.a = w.r),
+  comp AS (SELECT n AS mention_id, min(r) AS component FROM walk GROUP BY n), {LABELLED}""")
+def topic_clusters_all(spark, sf_dir):
+    """Any two tokens link; topic_clusters leaves the frequent ones out."""
+    return topics.clusters(topics.top_tokens(A.mentions(spark, sf_dir)), whole=True)
+
+
 @query(f"""WITH RECURSIVE {SHARING}, links AS (SELECT a, b FROM sharing UNION SELECT b, a FROM sharing), walk AS (SELECT a AS n, a AS r FROM links UNION SELECT w.n, l.b FROM walk w JOIN links l ON l.a = w.r),
   comp AS (SELECT n AS mention_id, min(r) AS component FROM walk GROUP BY n), terms AS (SELECT component, token, sum(n) AS uses FROM tops JOIN comp USING (mention_id) GROUP BY ALL),
   best AS (SELECT component, string_agg(token, ' ' ORDER BY k) AS label FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY uses DESC, token) AS k FROM terms) WHERE k <= 3 GROUP BY 1)

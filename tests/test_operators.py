@@ -13,7 +13,7 @@ from chatterlake.functions import language as L
 from chatterlake.functions import numbers as N
 from chatterlake.functions import scores as S
 from chatterlake.functions import text as T
-from chatterlake.operators import dedup, entities, nlp, semantics, spam, store, threads, windows
+from chatterlake.operators import dedup, entities, nlp, semantics, spam, store, threads, topics, windows
 from chatterlake.plans import payloads as P
 from chatterlake.plans import reports as R
 from chatterlake.plans.pipeline import Options, run_batch
@@ -266,3 +266,16 @@ def test_lineage_of_long_threads_and_cycles(spark):
     paths = {r.id: r.lineage for r in threads.lineage(spark.createDataFrame(rows, "origin_id string, parent_id string")).collect()}
     assert all(paths[f"m{i}"] == [f"m{k}" for k in range(i)] for i in range(50))
     assert paths["a"] == ["c", "b"] and paths["tail"] == ["c", "b", "a"] and paths["self"] == [] and paths["lost"] == []
+
+
+def test_frequent_tokens_link_topics(spark):
+    rng = random.Random(6)
+    held = {i: {"often", *(f"w{rng.randrange(150)}" for _ in range(2)), *(["usual"] if i % 2 else [])} for i in range(60)}
+    tops = spark.createDataFrame([(i, t, 1) for i, s in held.items() for t in s], "mention_id long, token string, n long")
+    up = {i: i for i in held}
+    for a in held:
+        for b in held:
+            if a < b and len(held[a] & held[b]) >= 2:
+                up = {k: min(up[a], up[b]) if v in (up[a], up[b]) else v for k, v in up.items()}
+    sizes = sorted(n for r in set(up.values()) if (n := list(up.values()).count(r)) > 1)
+    assert sorted(r.mentions for r in topics.clusters(tops, whole=True).collect()) == sizes and sizes[-1] >= 30
