@@ -58,3 +58,8 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_keyword_confidence_has_every_user(spark, duck):
+    users = {u for (u,) in duck.execute("SELECT DISTINCT user_id FROM events").fetchall()}
+    assert {r.mention_id for r in catalog.QUERIES["keyword_confidence_all"](spark, FOLDER).collect()} == users
