@@ -13,8 +13,8 @@ from pyspark.sql import SparkSession
 from chatterlake import catalog
 
 HEADLINE = (
-    "sov_brand", "sov_brand_weighted", "buzz_event_type", "top_issues", "dedup_exact_clusters", "dedup_near_pairs", "spam_mention_score", 
-    "author_burstiness", "thread_summary", "thread_controversy", "topic_tokens", "text_stats", "quality_flags", "impact_score", "crisis_level", "insight_cards",
+    "sov_brand", "sov_brand_weighted", "buzz_event_type", "top_issues", "dedup_exact_clusters", "dedup_near_pairs", "spam_mention_score",
+    "quality_weight", "author_burstiness", "thread_summary", "thread_controversy", "topic_tokens", "text_stats", "quality_flags", "impact_score", "crisis_level", "insight_cards",
 )
 
 

@@ -24,3 +24,8 @@ def clamp(value: Column, low: float, high: float) -> Column:
 def confidence(value: Column) -> Column:
     """A calibrated confidence: between 0.05 and 0.99, three digits."""
     return F.round(clamp(value, 0.05, 0.99), 3)
+
+
+def rounded_mean(total: Column, n: Column, scale: int = 10_000) -> Column:
+    """total / n, both whole, rounded half up to a whole number and divided by scale; total is not negative."""
+    return F.floor((2 * total + n) / (2 * n)).cast("long") / scale

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-#: An alias table of at most this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
+from .lineage import cut
 
 
 def candidates(text: Column) -> Column:
@@ -34,9 +32,11 @@ def alias_index(entities: DataFrame) -> DataFrame:
     return every.groupBy(T.alias(F.col("a")).alias("alias")).agg(F.max_by("entity_id", F.struct("ord", "entity_id")).alias("entity_id")).filter("alias != ''")
 
 
-def resolved(hits: DataFrame, index: DataFrame, small: bool = False) -> DataFrame:
-    """hits (mention_id, surface) with entity_id, confidence and method; what no alias names stays unresolved."""
-    index = F.broadcast(index) if small else index
+def resolved(hits: DataFrame, index: DataFrame) -> DataFrame:
+    """hits (mention_id, surface) with entity_id, confidence and method; what no alias names stays unresolved.
+
+    Whether the index is broadcast is Spark's choice, by its measured size.
+    """
     rows = hits.withColumn("alias", T.alias(F.col("surface"))).join(index, "alias", "left")
     found = F.col("entity_id").isNotNull()
     return rows.withColumns({"confidence": F.when(found, 0.78).otherwise(0.40), "method": F.when(found, "alias").otherwise("unresolved"), "reason": F.when(~found, "no_alias_match")})
@@ -44,14 +44,14 @@ def resolved(hits: DataFrame, index: DataFrame, small: bool = False) -> DataFram
 
 def text_scan(mentions: DataFrame, index: DataFrame) -> DataFrame:
     """mention_id, entity_id of every alias whose words stand in the text: an equi-join on runs of words, not a scan of all pairs."""
-    longest = 4
+    named = index.select(F.array_join(T.words(F.lower(F.col("alias"))), " ").alias("alias"), "entity_id").filter("length(alias) >= 2")
+    longest = named.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1  # words of the longest alias
 
     def runs(tokens: Column) -> Column:
         return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.transform(
             F.sequence(F.lit(1), F.greatest(F.size(tokens) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), " "))))
 
     grams = mentions.select("mention_id", F.explode(F.array_distinct(T.let(T.words(F.lower(F.col("text"))), runs))).alias("alias"))
-    named = index.select(F.array_join(T.words(F.lower(F.col("alias"))), " ").alias("alias"), "entity_id").filter("length(alias) >= 2")
     return grams.join(named, "alias").select("mention_id", "entity_id").distinct()
 
 
@@ -62,15 +62,18 @@ def unresolved_clusters(hits: DataFrame, least: int = 2, examples: int = 5) -> D
     return found.withColumn("cluster_id", F.concat(F.lit("cand:"), F.substring(F.md5("alias"), 1, 12)))
 
 
-def taxonomy(nodes: DataFrame, most: int = 16) -> DataFrame:
-    """node_id, parent_id, depth, path of a taxonomy, from its roots down; nodes out of reach have a null depth."""
-    level = nodes.filter("parent_id is null").select("node_id", F.lit(0).alias("depth"), F.col("node_id").cast("string").alias("path"))
-    found = level
-    for depth in range(1, most):
+def taxonomy(nodes: DataFrame) -> DataFrame:
+    """node_id, parent_id, depth, path of a taxonomy, from its roots down to any depth; nodes out of reach, as in a cycle, have a null depth.
+
+    A node that several rows name counts at its first level; a level only holds nodes not met before, so the walk ends.
+    """
+    level = cut(nodes.filter("parent_id is null").groupBy("node_id").agg(F.lit(0).alias("depth"), F.min(F.col("node_id").cast("string")).alias("path")))
+    found, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
         up = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("up_path"))
-        level = nodes.join(up, "parent_id").select("node_id", F.lit(depth).alias("depth"), F.concat_ws("/", "up_path", "node_id").alias("path"))
-        if level.limit(1).count() == 0:
-            break
+        below = nodes.join(up, "parent_id").join(found.select("node_id"), "node_id", "left_anti")
+        level = cut(below.groupBy("node_id").agg(F.lit(depth).alias("depth"), F.min(F.concat_ws("/", "up_path", "node_id")).alias("path")))
         found = found.union(level)
     return nodes.select("node_id", "parent_id").join(found, "node_id", "left")
 
@@ -81,7 +84,8 @@ def dangling(children: DataFrame, reference: str, parents: DataFrame, key: str)
 
 
 def overlay(base: DataFrame, above: DataFrame, key: str) -> DataFrame:
-    """Rows of both layers, the upper one's where both have a key."""
-    both = base.withColumn("_layer", F.lit(0)).unionByName(above.withColumn("_layer", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_layer")))
-    return both.withColumn("_rank", rank).filter("_rank = 1").drop("_layer", "_rank")
+    """Rows of both layers, the upper one's where both have a key; of a layer's rows with one key, the last holds."""
+    at = F.monotonically_increasing_id()
+    both = base.withColumns({"_layer": F.lit(0), "_at": at}).unionByName(above.withColumns({"_layer": F.lit(1), "_at": at}))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_layer"), F.desc("_at")))
+    return both.withColumn("_rank", rank).filter("_rank = 1").drop("_layer", "_at", "_rank")

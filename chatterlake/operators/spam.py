@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
+from ..functions.numbers import rounded_mean
 
 SUSPICIOUS, REUSED = 0.65, 3
 
@@ -25,11 +26,15 @@ def scored(mentions: DataFrame) -> DataFrame:
 
 
 def authors(rows: DataFrame, bursts: DataFrame) -> DataFrame:
-    """One row per author of scored mentions; bursts: author_id and burstiness."""
+    """One row per author of scored mentions; bursts: author_id and burstiness.
+
+    Scores have four digits: their mean is that of whole ten-thousandths, so no order of rows can change a digit of it.
+    """
     n = F.count("*")
+    total = F.sum(F.round(F.col("mention_spam_score") * 10_000).cast("long"))
     share = lambda cond: F.sum(F.when(cond, 1).otherwise(0)) / n
     found = rows.groupBy("author_id").agg(
-        n.alias("mention_count"), F.sum(F.col("suspicious").cast("int")).alias("suspicious_mention_count"), F.avg("mention_spam_score").alias("_avg"),
+        n.alias("mention_count"), F.sum(F.col("suspicious").cast("int")).alias("suspicious_mention_count"), (total / (n * 10_000)).alias("_avg"), rounded_mean(total, n).alias("_rounded"),
         share(F.col("dedup_cluster_size") > 1).alias("_dup"), share(F.col("template_uses") >= REUSED).alias("_template"), share(F.col("repost")).alias("_repost"))
     found = found.join(bursts.select("author_id", "burstiness"), "author_id", "left").withColumn("burstiness", F.coalesce("burstiness", F.lit(0.0)))
     base = F.round(F.least(F.col("_avg") * 0.42 + F.col("burstiness") * 0.18 + F.col("_dup") * 0.20 + F.col("_template") * 0.12 + F.col("_repost") * 0.08, F.lit(1.0)), 4)
@@ -41,7 +46,7 @@ def authors(rows: DataFrame, bursts: DataFrame) -> DataFrame:
     score = F.round(F.least(base + F.least(F.size("reasons") * 0.03, F.lit(0.09)), F.lit(1.0)), 4)
     return found.select(
         "author_id", "mention_count", "suspicious_mention_count", score.alias("author_inorganic_score"), (score >= SUSPICIOUS).alias("author_suspicious"), "burstiness",
-        F.round("_template", 4).alias("template_ratio"), F.round("_dup", 4).alias("duplicate_rate"), F.round("_repost", 4).alias("repost_ratio"), F.round("_avg", 4).alias("average_spam_score"), "reasons")
+        F.round("_template", 4).alias("template_ratio"), F.round("_dup", 4).alias("duplicate_rate"), F.round("_repost", 4).alias("repost_ratio"), F.col("_rounded").alias("average_spam_score"), "reasons")
 
 
 def weighted(rows: DataFrame, profiles: DataFrame) -> DataFrame:

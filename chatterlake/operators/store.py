@@ -37,7 +37,7 @@ def deleted(rows: DataFrame, filters: dict[str, object]) -> DataFrame:
 
 
 def queued(facts: DataFrame, force: bool = False) -> DataFrame:
-    """Facts for review: a reviewed type and a confidence below the bar, the least certain first up to the project's cap."""
+    """Facts for review: a reviewed type and a confidence below the bar, the oldest first up to the project's cap."""
     rows = facts.filter(F.col("fact_type").isin(*REVIEWED) & (F.lit(force) | (F.col("confidence") < CERTAIN)))
     rank = F.row_number().over(Window.partitionBy("project_id").orderBy("created_at", "item_id"))
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= QUEUE).drop("_rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -26,41 +26,47 @@ def top_tokens(mentions: DataFrame, k: int = 8) -> DataFrame:
     return best.select("mention_id", F.posexplode("best").alias("rank", "b")).select("mention_id", F.col("b.token").alias("token"), (-F.col("b.m")).alias("n"), (F.col("rank") + 1).alias("rank"))
 
 
-def sharing_pairs(tops: DataFrame, least: int = 2, common: float = 0.02) -> DataFrame:
-    """a < b and shared: mentions that share at least `least` of their top tokens, by an inverted index.
+def token_pairs(tops: DataFrame) -> DataFrame:
+    """mention_id and two, a row for each two of a mention's top tokens: mentions that share two tokens meet in one such key."""
+    sets = tops.groupBy("mention_id").agg(F.array_sort(F.collect_set("token")).alias("t"))
+    two = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return sets.select("mention_id", F.explode(two).alias("two"))
+
+
+def sharing_pairs(tops: DataFrame) -> DataFrame:
+    """a < b and shared: all mentions that share at least two of their top tokens, however frequent those are.
 
-    A token in more than a share of `common` of all mentions (and in ten) is no topic of theirs.
+    They meet by two tokens at once, so a frequent token alone brings nobody together. The result holds all pairs of
+    a group; `sharing_links` has the same components in rows that grow with the mentions.
     """
-    n = tops.select(F.count_distinct("mention_id").alias("n")).scalar()
-    used = tops.groupBy("token").agg(F.count("*").alias("df")).withColumn("n", n).filter(F.col("df") <= F.greatest(F.lit(10), F.col("n") * common)).select("token")
-    rows = tops.join(used, "token").select("token", "mention_id")
+    rows = token_pairs(tops)
     left, right = rows.withColumnRenamed("mention_id", "a"), rows.withColumnRenamed("mention_id", "b")
-    return left.join(right, "token").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    met = left.join(right, "two").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("met"))
+    # s shared tokens make s (s - 1) / 2 keys.
+    return met.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("met"))) / 2).cast("long").alias("shared"))
 
 
 def sharing_links(tops: DataFrame) -> DataFrame:
     """a < b whose components are those of all mentions that share two top tokens, however frequent: each mention
     is linked to the smallest one that has the same two tokens, so links grow with mentions, not with their pairs."""
-    sets = tops.groupBy("mention_id").agg(F.array_sort(F.collect_set("token")).alias("t"))
-    two = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    rows = sets.select("mention_id", F.explode(two).alias("two"))
+    rows = token_pairs(tops)
     least = rows.groupBy("two").agg(F.min("mention_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("two", "a")
     return rows.join(least, "two").filter("a < mention_id").select("a", F.col("mention_id").alias("b")).distinct()
 
 
-def clusters(tops: DataFrame, whole: bool = False) -> DataFrame:
-    """topic_key, label (its three most frequent tokens), mentions, confidence of each group of linked mentions.
-
-    whole: mentions are linked by any two tokens, else by those that `sharing_pairs` uses.
-    """
-    tops = cut(tops) if whole else tops
-    found = components(sharing_links(tops) if whole else sharing_pairs(tops).select("a", "b"))
+def clusters(tops: DataFrame) -> DataFrame:
+    """topic_key, label (its three most frequent tokens), mentions, confidence of each group of mentions linked by two top tokens."""
+    tops = cut(tops)
+    found = components(sharing_links(tops))
     rows = tops.join(found.withColumnRenamed("node", "mention_id"), "mention_id")
     sizes = found.groupBy("component").agg(F.count("*").alias("mentions"))
     terms = rows.groupBy("component", "token").agg(F.sum("n").alias("uses"))
-    label = terms.groupBy("component").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("uses")).alias("u"), "token"))), 1, 3), lambda x: x["token"]), " ").alias("label"))
+    # The three first of a component by row numbers: Spark limits them before the shuffle, so no task gathers all its terms.
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("uses"), "token"))
+    best = terms.withColumn("k", rank).filter("k <= 3").groupBy("component").agg(F.array_sort(F.collect_list(F.struct("k", "token"))).alias("best"))
+    label = best.select("component", F.transform("best", lambda x: x["token"]).alias("terms")).withColumn("label", F.array_join("terms", " "))
     conf = F.least(0.35 + 0.05 * F.col("mentions"), F.lit(0.85))
-    return sizes.join(label, "component").select(F.substring(F.md5("label"), 1, 8).alias("topic_key"), F.col("component").alias("first_mention"), "label", "mentions", F.round(conf, 4).alias("confidence"))
+    return sizes.join(label, "component").select(F.concat(F.lit("topic-"), F.substring(F.md5(F.array_join(F.array_sort("terms"), "_")), 1, 8)).alias("topic_key"), F.col("component").alias("first_mention"), "label", "mentions", F.round(conf, 4).alias("confidence"))
 
 
 def keyphrases(mentions: DataFrame, k: int = 5) -> DataFrame:

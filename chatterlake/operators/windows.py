@@ -48,6 +48,8 @@ def burstiness(rows: DataFrame, author: str, at: str, minutes: int = 60) -> Data
         F.when(F.count("*") < 2, 0.0).otherwise(F.round(F.max("_n") / F.count("*"), 4)).alias("burstiness"))
 
 
-def first_k(value: Column, order: Column, k: int) -> Column:
-    """An aggregate: the k first values by order, without repeats in a row's place."""
-    return F.transform(F.slice(F.array_sort(F.collect_set(F.struct(order.alias("o"), value.alias("v")))), 1, k), lambda x: x["v"])
+def first_rows(rows: DataFrame, group: str, value: str, k: int) -> DataFrame:
+    """group and `first`, the k smallest different values of it. Spark limits the ranks before the shuffle: no task gathers a whole group."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(value))
+    best = rows.select(group, value).distinct().withColumn("_rank", rank).filter(F.col("_rank") <= k)
+    return best.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("first"))

@@ -94,10 +94,10 @@ def profiles(spark, sf_dir):
 
 
 AUTHORS = f"""{SCORED},
-  g AS (SELECT author_id, count(*) AS mention_count, count(*) FILTER (mention_spam_score >= 0.65) AS suspicious_mention_count, avg(mention_spam_score) AS a, count(*) FILTER (size > 1) / CAST(count(*) AS DOUBLE) AS d,
+  g AS (SELECT author_id, count(*) AS mention_count, count(*) FILTER (mention_spam_score >= 0.65) AS suspicious_mention_count, sum(CAST(round(mention_spam_score * 10000) AS BIGINT)) AS s, sum(CAST(round(mention_spam_score * 10000) AS BIGINT)) / (count(*) * 10000)::DOUBLE AS a, count(*) FILTER (size > 1) / CAST(count(*) AS DOUBLE) AS d,
     count(*) FILTER (template_uses >= 3) / CAST(count(*) AS DOUBLE) AS t, count(*) FILTER (repost) / CAST(count(*) AS DOUBLE) AS r FROM scored GROUP BY 1),
   h AS (SELECT *, round(least(a * 0.42::DOUBLE + 0.25::DOUBLE * 0.18::DOUBLE + d * 0.20::DOUBLE + t * 0.12::DOUBLE + r * 0.08::DOUBLE, 1.0::DOUBLE), 4) AS base, (d >= 0.45)::INT + (t >= 0.45)::INT + (r >= 0.4)::INT + (a >= 0.55)::INT AS reasons FROM g),
-  profiles AS (SELECT author_id, mention_count, suspicious_mention_count, round(least(base + least(reasons * 0.03::DOUBLE, 0.09::DOUBLE), 1.0::DOUBLE), 4) AS author_inorganic_score, round(t, 4) AS template_ratio, round(d, 4) AS duplicate_rate, round(r, 4) AS repost_ratio, round(a, 4) AS average_spam_score FROM h)"""
+  profiles AS (SELECT author_id, mention_count, suspicious_mention_count, round(least(base + least(reasons * 0.03::DOUBLE, 0.09::DOUBLE), 1.0::DOUBLE), 4) AS author_inorganic_score, round(t, 4) AS template_ratio, round(d, 4) AS duplicate_rate, round(r, 4) AS repost_ratio, ((2 * s + mention_count) // (2 * mention_count)) / 10000.0::DOUBLE AS average_spam_score FROM h)"""
 
 
 @query(f"WITH {AUTHORS} SELECT * FROM profiles")
@@ -140,8 +140,7 @@ STOP = ", ".join(f"'{w}'" for w in topics.STOPWORDS)
 TOPS = rf"""{MENTIONS}, l AS (SELECT mention_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 3 AND t NOT IN ({STOP})) AS w FROM m),
   e AS (SELECT mention_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM l), n AS (SELECT mention_id, token, count(*) AS n, min(pos) AS first FROM e GROUP BY ALL),
   tops AS (SELECT mention_id, token, n, CAST(row_number() OVER (PARTITION BY mention_id ORDER BY n DESC, first) AS INTEGER) AS rank FROM n QUALIFY rank <= 8)"""
-SHARING = f"""{TOPS}, df AS (SELECT token FROM tops GROUP BY token HAVING count(*) <= greatest(10, (SELECT count(DISTINCT mention_id) FROM tops) * 0.02)), k AS (SELECT token, mention_id FROM tops JOIN df USING (token)),
-  sharing AS (SELECT a.mention_id AS a, b.mention_id AS b, count(*) AS shared FROM k a JOIN k b ON a.token = b.token AND a.mention_id < b.mention_id GROUP BY ALL HAVING count(*) >= 2)"""
+SHARING = f"""{TOPS}, sharing AS (SELECT a.mention_id AS a, b.mention_id AS b, count(*) AS shared FROM tops a JOIN tops b ON a.token = b.token AND a.mention_id < b.mention_id GROUP BY ALL HAVING count(*) >= 2)"""
 
 
 @query(f"WITH {TOPS} SELECT * FROM tops")
@@ -154,23 +153,10 @@ def topic_pairs(spark, sf_dir):
     return topics.sharing_pairs(topics.top_tokens(A.mentions(spark, sf_dir)))
 
 
-LABELLED = """terms AS (SELECT component, token, sum(n) AS uses FROM tops JOIN comp USING (mention_id) GROUP BY ALL),
-  best AS (SELECT component, string_agg(token, ' ' ORDER BY k) AS label FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY uses DESC, token) AS k FROM terms) WHERE k <= 3 GROUP BY 1)
-  SELECT substr(md5(label), 1, 8) AS topic_key, component AS first_mention, label, count(*) AS mentions, round(least(0.35::DOUBLE + 0.05::DOUBLE * count(*), 0.85::DOUBLE), 4) AS confidence FROM comp JOIN best USING (component) GROUP BY component, label"""
-
-
-@query(f"""WITH RECURSIVE {TOPS}, sharing AS (SELECT a.mention_id AS a, b.mention_id AS b FROM tops a JOIN tops b ON a.token = b.token AND a.mention_id < b.mention_id GROUP BY ALL HAVING count(*) >= 2),
-  links AS (SELECT a, b FROM sharing UNION SELECT b, a FROM sharing), walk AS (SELECT a AS n, a AS r FROM links UNION SELECT w.n, l.b FROM walk w JOIN links l ON l.a = w.r),
-  comp AS (SELECT n AS mention_id, min(r) AS component FROM walk GROUP BY n), {LABELLED}""")
-def topic_clusters_all(spark, sf_dir):
-    """Any two tokens link; topic_clusters leaves the frequent ones out."""
-    return topics.clusters(topics.top_tokens(A.mentions(spark, sf_dir)), whole=True)
-
-
 @query(f"""WITH RECURSIVE {SHARING}, links AS (SELECT a, b FROM sharing UNION SELECT b, a FROM sharing), walk AS (SELECT a AS n, a AS r FROM links UNION SELECT w.n, l.b FROM walk w JOIN links l ON l.a = w.r),
   comp AS (SELECT n AS mention_id, min(r) AS component FROM walk GROUP BY n), terms AS (SELECT component, token, sum(n) AS uses FROM tops JOIN comp USING (mention_id) GROUP BY ALL),
-  best AS (SELECT component, string_agg(token, ' ' ORDER BY k) AS label FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY uses DESC, token) AS k FROM terms) WHERE k <= 3 GROUP BY 1)
-  SELECT substr(md5(label), 1, 8) AS topic_key, component AS first_mention, label, count(*) AS mentions, round(least(0.35::DOUBLE + 0.05::DOUBLE * count(*), 0.85::DOUBLE), 4) AS confidence FROM comp JOIN best USING (component) GROUP BY component, label""")
+  best AS (SELECT component, string_agg(token, ' ' ORDER BY k) AS label, string_agg(token, '_' ORDER BY token) AS name FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY uses DESC, token) AS k FROM terms) WHERE k <= 3 GROUP BY 1)
+  SELECT 'topic-' || substr(md5(name), 1, 8) AS topic_key, component AS first_mention, label, count(*) AS mentions, round(least(0.35::DOUBLE + 0.05::DOUBLE * count(*), 0.85::DOUBLE), 4) AS confidence FROM comp JOIN best USING (component) GROUP BY component, label, name""")
 def topic_clusters(spark, sf_dir):
     return topics.clusters(topics.top_tokens(A.mentions(spark, sf_dir)))
 

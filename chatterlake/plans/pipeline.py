@@ -95,12 +95,16 @@ def reported(marts: dict[str, DataFrame], options: Options) -> dict[str, DataFra
     moods = marts["fact_sentiment"].join(roots, "mention_id").select("root_id", "sentiment")
     topic_facts = marts["fact_topics"].filter("rank <= 3").select("token", "mention_id").join(split.select("mention_id", "weight", "half"), "mention_id")
     out = {
-        "sov_report": R.top_share_of_voice(marts["fact_entity_mentions"], split, options.weighting != "raw"), "buzz_report": R.top_buzz(topic_facts, "token"), "top_issues_report": R.top_issues(marts["fact_issue_signals"]),
+        "sov_report": R.top_share_of_voice(marts["fact_entity_mentions"], split, options.weighting != "raw"), "buzz_report": R.top_buzz(topic_facts, "token"), "top_issues_report": R.top_issues(marts["fact_issue_signals"], split),
         "thread_controversy_report": threads.controversy(thread_rows, rows, moods, marts["fact_issue_signals"]).orderBy(F.desc("controversy_score_proxy"), F.desc("total_mentions"), "root_id").limit(R.TOP),
-        "creator_report": R.breakdown(rows, "author_id"), "initiator_report": R.breakdown(rows.filter("depth = 0"), "author_id"), "source_report": R.breakdown(rows, "platform")}
-    for name in ("sov_report", "buzz_report", "top_issues_report", "thread_controversy_report"):
+        "unresolved_entities_report": R.unresolved_reasons(marts["fact_entity_mentions"]), "initiator_report": R.breakdown(rows.filter("depth = 0"), "author_id"), "emerging_topics_report": R.buzz(topic_facts, "token").select("token", (F.col("current_count") - F.col("previous_count")).alias("growth_delta")).orderBy(F.desc("growth_delta"), "token").limit(R.TOP)}
+    said, kinds = marts["fact_topics"].filter("rank <= 3").select("mention_id", F.col("token").alias("topic")), marts["fact_issue_signals"].select("mention_id", "issue_category")
+    out["creator_report"] = R.detailed_breakdown(rows, "author_id", said, kinds, out["thread_controversy_report"])
+    out["source_report"] = R.detailed_breakdown(rows, "platform", said, kinds)
+    out["sov_report"] = R.with_names(out["sov_report"], marts["dim_entities"])
+    for name in ("sov_report", "buzz_report", "top_issues_report", "thread_controversy_report", "emerging_topics_report", "creator_report"):
         out[name] = cut(out[name])
-    out["insight_cards"] = R.insight_cards(out["sov_report"], out["buzz_report"], out["top_issues_report"], out["thread_controversy_report"])
+    out["insight_cards"] = R.insight_cards(*[out[f"{name}_report"] for name in ("sov", "buzz", "emerging_topics", "top_issues", "thread_controversy", "creator")])
     return out
 
 

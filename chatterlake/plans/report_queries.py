@@ -94,9 +94,20 @@ TOP_ISSUES = f"""WITH {ISSUES} SELECT issue_category, count(*) AS issue_rows, co
     FROM facts GROUP BY 1 ORDER BY issue_pressure_proxy DESC, mention_count DESC, issue_category LIMIT 10"""
 
 
-@query(TOP_ISSUES)
+def mix_sql(value: str) -> str:
+    return f"""SELECT issue_category, string_agg({value} || '=' || printf('%.4f', share), '|' ORDER BY {value}) AS mix FROM
+    (SELECT *, round(n / CAST(sum(n) OVER (PARTITION BY issue_category) AS DOUBLE), 4) AS share FROM (SELECT issue_category, {value}, count(*) AS n FROM facts GROUP BY ALL)) GROUP BY 1"""
+
+
+DETAILED_ISSUES = f"""WITH {ISSUES}, {EVENT_HALVES}, best AS ({TOP_ISSUES.replace("WITH " + ISSUES, "")}),
+  g AS (SELECT issue_category, count(*) FILTER (NOT early) - count(*) FILTER (early) AS growth_delta_mentions, list_slice(list_sort(list(mention_id)), 1, 5) AS evidence FROM facts JOIN ranked ON event_id = mention_id GROUP BY 1)
+  SELECT best.*, growth_delta_mentions, round(mention_count / CAST((SELECT count(*) FROM events) AS DOUBLE), 4) AS mention_prevalence_ratio, s.mix AS severity_mix, e.mix AS evidence_mode_mix, evidence
+  FROM best JOIN g USING (issue_category) JOIN ({mix_sql("severity")}) s USING (issue_category) JOIN ({mix_sql("evidence_mode")}) e USING (issue_category)"""
+
+
+@query(DETAILED_ISSUES)
 def top_issues(spark, sf_dir):
-    return R.top_issues(issue_facts(spark, sf_dir))
+    return R.top_issues(issue_facts(spark, sf_dir), windows.half_split(A.timed(spark, sf_dir), "posted_at", "mention_id"))
 
 
 @query(f"WITH {ISSUES}, c AS (SELECT issue_category, severity, count(*) AS n FROM facts GROUP BY ALL) SELECT *, round(n / CAST(sum(n) OVER (PARTITION BY issue_category) AS DOUBLE), 4) AS share FROM c")
@@ -109,9 +120,29 @@ def top_values(spark, sf_dir):
     return R.top_values(issue_facts(spark, sf_dir), "severity", "issue_category")
 
 
-@query("SELECT user_id AS author_id, count(*) AS mention_count FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def creators(spark, sf_dir):
+    """events as mentions of threads (97 of them, a fifth controversial), their types as topics and severities as issues."""
+    rows = A.timed(spark, sf_dir).withColumn("root_id", F.col("mention_id") % 97)
+    kinds = issue_facts(spark, sf_dir).select("mention_id", F.col("severity").alias("issue_category"))
+    threads = rows.select("root_id", F.when(F.col("root_id") % 5 == 0, 0.5).otherwise(0.1).alias("controversy_score_proxy")).distinct()
+    return R.detailed_breakdown(rows, "author_id", rows.select("mention_id", "topic"), kinds, threads)
+
+
+def listed_sql(value: str) -> str:
+    return f"""(SELECT author_id, string_agg({value}, ',' ORDER BY n DESC, {value}) AS l FROM (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY n DESC, {value}) AS k
+    FROM (SELECT user_id AS author_id, {value}, count(*) AS n FROM events JOIN facts ON event_id = mention_id GROUP BY ALL)) WHERE k <= 3 GROUP BY 1)"""
+
+
+CREATORS = f"""WITH {ISSUES}, best AS (SELECT user_id AS author_id, count(*) AS mention_count FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+  SELECT best.*, round(mention_count / CAST((SELECT count(*) FROM events) AS DOUBLE), 4) AS conversation_share, t.l AS top_topic_keys, i.l AS top_issue_categories,
+    (SELECT count(DISTINCT event_id % 97) FILTER (event_id % 97 % 5 = 0) FROM events WHERE user_id = best.author_id) AS controversy_thread_count,
+    (SELECT list_slice(list_sort(list(event_id)), 1, 5) FROM events WHERE user_id = best.author_id) AS evidence
+  FROM best JOIN {listed_sql("event_type")} t USING (author_id) JOIN {listed_sql("severity")} i USING (author_id)"""
+
+
+@query(CREATORS)
 def creator_breakdown(spark, sf_dir):
-    return R.breakdown(A.timed(spark, sf_dir), "author_id")
+    return creators(spark, sf_dir)
 
 
 @query("SELECT role AS author_id, count(*) AS mention_count FROM conversations WHERE turn = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -160,16 +191,29 @@ def crisis_level(spark, sf_dir):
     return R.crisis(top_issues(spark, sf_dir), thread_controversy(spark, sf_dir), sov_brand(spark, sf_dir))
 
 
-@query(f"""SELECT 'share_of_voice_shift' AS insight_type, 'Share of voice shift detected for ' || entity_id AS title, delta_mention_share AS metric, least(0.55 + abs(delta_mention_share), 0.9::DOUBLE) AS confidence
-    FROM (SELECT * FROM ({ORACLE_SQL['sov_brand']}) ORDER BY mention_share DESC, hit_share DESC, entity_id LIMIT 1) WHERE delta_mention_count <> 0
-  UNION ALL (SELECT 'trending_topic', 'Topic gaining volume: ' || topic, buzz_score_proxy, 0.7 FROM ({BUZZ}) ORDER BY buzz_score_proxy DESC, topic LIMIT 1)
-  UNION ALL (SELECT 'issue_warning', 'Issue pressure rising: ' || issue_category, issue_pressure_proxy, 0.65 FROM ({TOP_ISSUES}) ORDER BY issue_pressure_proxy DESC, issue_category LIMIT 1)
-  UNION ALL (SELECT 'controversial_thread', 'Controversial thread: ' || root_id, controversy_score_proxy, least(0.5 + controversy_score_proxy, 0.9) FROM ({TOP_CONTROVERSY}) LIMIT 1)""")
+def emerging(spark, sf_dir):
+    """Topics by how many more mentions the later half has."""
+    rows = R.buzz(event_topics(spark, sf_dir), "topic")
+    return rows.select("topic", (F.col("current_count") - F.col("previous_count")).alias("growth_delta"))
+
+
+@query(f"""WITH s AS (SELECT * FROM ({ORACLE_SQL['sov_brand']}) ORDER BY mention_share DESC, hit_share DESC, entity_id LIMIT 1), b AS (SELECT * FROM ({BUZZ}) ORDER BY buzz_score_proxy DESC, effective_mention_count DESC, topic LIMIT 1),
+  n AS (SELECT topic, current_count - previous_count AS d FROM ({BUZZ}) ORDER BY d DESC, topic LIMIT 1), i AS (SELECT * FROM ({DETAILED_ISSUES}) ORDER BY issue_pressure_proxy DESC, mention_count DESC, issue_category LIMIT 1),
+  t AS (SELECT * FROM ({TOP_CONTROVERSY}) LIMIT 1), c AS (SELECT * FROM ({CREATORS}) ORDER BY mention_count DESC, author_id LIMIT 1),
+  cards AS (SELECT 'share_of_voice_shift' AS insight_type, 'Share of voice shift detected for ' || entity_id AS title, entity_id || CASE WHEN delta_mention_count > 0 THEN ' gained ' ELSE ' lost ' END || abs(delta_mention_count) || ' mention(s) in the later half of the window.' AS summary,
+    delta_mention_share AS metric, least(0.55::DOUBLE + abs(delta_mention_share), 0.9::DOUBLE) AS confidence, array_to_string(evidence, ',') AS evidence, 'entity_id' AS filter_key, entity_id AS filter_value, 'sov_report,buzz_report' AS source_reports FROM s WHERE delta_mention_count <> 0
+  UNION ALL SELECT 'trending_topic', 'Topic gaining volume: ' || topic, topic || ' is reportable in ' || mention_count || ' raw mentions and ' || printf('%.2f', effective_mention_count) || ' effective mentions.', buzz_score_proxy, least(0.5::DOUBLE + greatest(growth, 0) * 0.1::DOUBLE, 0.86::DOUBLE), '', 'topic', topic, 'buzz_report' FROM b
+  UNION ALL SELECT 'conversation_hotspot', 'Topic buzz concentrating around ' || topic, topic || ' appears in ' || mention_count || ' mentions.', buzz_score_proxy, least(0.52::DOUBLE + greatest(growth, 0) * 0.12::DOUBLE, 0.88::DOUBLE), '', 'topic', topic, 'buzz_report' FROM b
+  UNION ALL SELECT 'emerging_topic', 'Emerging topic: ' || topic, topic || ' passed quality gates with growth delta ' || printf('%.1f', CAST(d AS DOUBLE)) || '.', d, 0.54, '', 'topic', topic, 'emerging_topics_report' FROM n
+  UNION ALL SELECT 'issue_warning', 'Issue pressure around ' || issue_category, issue_category || ' leads the issue report across ' || mention_count || ' mentions.', issue_pressure_proxy, least(0.58::DOUBLE + issue_pressure_proxy / greatest(issue_pressure_proxy, 1) * 0.18::DOUBLE, 0.86::DOUBLE), array_to_string(evidence, ','), 'issue_category', issue_category, 'top_issues_report' FROM i
+  UNION ALL SELECT 'controversy_alert', 'Controversy proxy elevated for thread ' || root_id, 'Thread ' || root_id || ' stands out by reply density, recursion, polarity conflict, and diversity signals.', controversy_score_proxy, least(0.52::DOUBLE + controversy_score_proxy * 0.25::DOUBLE, 0.84::DOUBLE), '', 'root_id', root_id, 'thread_controversy_report' FROM t
+  UNION ALL SELECT 'creator_concentration', 'Creator concentration around ' || author_id, author_id || ' contributed ' || mention_count || ' mentions, or ' || printf('%.2f', 100 * conversation_share) || '% of the slice.', conversation_share, least(0.5::DOUBLE + conversation_share * 0.5::DOUBLE, 0.8::DOUBLE), array_to_string(evidence, ','), 'author_id', CAST(author_id AS VARCHAR), 'creator_source_breakdown_report' FROM c)
+  SELECT * REPLACE (CAST(metric AS DOUBLE) AS metric, round(CAST(confidence AS DOUBLE), 6) AS confidence) FROM cards""")
 def insight_cards(spark, sf_dir):
-    return R.insight_cards(sov_brand(spark, sf_dir), buzz_event_type(spark, sf_dir), top_issues(spark, sf_dir), thread_controversy(spark, sf_dir))
+    return R.insight_cards(sov_brand(spark, sf_dir), buzz_event_type(spark, sf_dir), emerging(spark, sf_dir), top_issues(spark, sf_dir), thread_controversy(spark, sf_dir), creators(spark, sf_dir))
 
 
-@query(f"SELECT count(*) AS cards, max(confidence) AS best, string_agg(insight_type, ',' ORDER BY insight_type) AS kinds FROM ({ORACLE_SQL['insight_cards']}) WHERE confidence >= 0.3")
+@query(f"SELECT * FROM ({ORACLE_SQL['insight_cards']}) WHERE confidence >= 0.3")
 def digest_payload(spark, sf_dir):
-    cards = insight_cards(spark, sf_dir).filter("confidence >= 0.3")
-    return cards.agg(F.count("*").alias("cards"), F.max("confidence").alias("best"), F.array_join(F.array_sort(F.collect_list("insight_type")), ",").alias("kinds"))
+    """The cards that are certain enough to be published, as they go out."""
+    return insight_cards(spark, sf_dir).filter("confidence >= 0.3")

@@ -278,4 +278,4 @@ def test_frequent_tokens_link_topics(spark):
             if a < b and len(held[a] & held[b]) >= 2:
                 up = {k: min(up[a], up[b]) if v in (up[a], up[b]) else v for k, v in up.items()}
     sizes = sorted(n for r in set(up.values()) if (n := list(up.values()).count(r)) > 1)
-    assert sorted(r.mentions for r in topics.clusters(tops, whole=True).collect()) == sizes and sizes[-1] >= 30
+    assert sorted(r.mentions for r in topics.clusters(tops).collect()) == sizes and sizes[-1] >= 30

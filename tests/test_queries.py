@@ -62,4 +62,4 @@ def test_entry_has_rows(spark):
 
 def test_keyword_confidence_has_every_user(spark, duck):
     users = {u for (u,) in duck.execute("SELECT DISTINCT user_id FROM events").fetchall()}
-    assert {r.mention_id for r in catalog.QUERIES["keyword_confidence_all"](spark, FOLDER).collect()} == users
+    assert {r.mention_id for r in catalog.QUERIES["keyword_confidence"](spark, FOLDER).collect()} == users
