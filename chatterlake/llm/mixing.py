@@ -9,9 +9,14 @@ keys -ln(u) / quality, u a hash of the doc_id, in order until the words are used
 Prefix sums within a source, which may hold a third of all rows, run over the square root
 of its rows as bins of keys, and then within each bin: no task sees a whole source.
 
+Targets are levels of a window over the table of sources (one narrow row each), in the order
+in which sources fill up: no number of sources is too large for the driver.
+
 Defined cases. A null text has size 0 and is taken 0 times. Null is a source of its own.
-Rows that repeat a doc_id are taken one by one. A source without words has target 0. An
-empty table gives no rows. More than `SOURCES` sources are refused, never cut.
+Rows that repeat a doc_id are taken one by one; ties of keys go by (doc_id, size, the text's
+hash). A source without words has target 0. A very long text counts whole, and if it crosses
+the target, gives its leading words. An empty table gives no rows. Other columns are kept by
+`mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import Scratch, fresh
+
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Their table is held by the driver and broadcast.
-SOURCES = 100_000
+#: A table of at most so many sources is broadcast; a larger one is joined by a shuffle, in which Spark splits hot sources.
+BROADCAST = 100_000
 #: Sampling weights of documents with quality 1, 0 and unknown.
 QUALITY = {1: 2.0, 0: 0.5, None: 1.0}
 
@@ -30,18 +37,26 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[float]:
-    """Target words of the sources, in their order."""
-    share = [weights[k % len(weights)] for k in range(len(sizes))]
-    total, full = sum(sizes), [False] * len(sizes)
-    while True:
-        rest = sum(w for w, f in zip(share, full, strict=True) if not f)
-        level = (total - most * sum(s for s, f in zip(sizes, full, strict=True) if f)) / rest if rest else 0.0
-        above = [k for k, s in enumerate(sizes) if not full[k] and level * share[k] > most * s]
-        if not above:
-            return [float(most * s) if f else level * w for s, w, f in zip(sizes, share, full, strict=True)]
-        for k in above:
-            full[k] = True
+def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """by_source (source, source_size) with nth, its place in code point order, and target, its words in the mix.
+
+    Sources are full in the order of size / weight. What the full ones leave is shared by weight; the first source
+    that its share does not fill, and all after it, get that share.
+    """
+    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    rows = by_source.withColumn("nth", nth)
+    rows = rows.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int")))
+    order = Window.orderBy(F.col("source_size") / F.col("w"), "nth")
+    every = Window.partitionBy()
+    rows = rows.withColumns({
+        "place": F.row_number().over(order), "all": F.sum("source_size").over(every),
+        "before": F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("source_size"),
+        "share": F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    rows = rows.withColumn("level", (F.col("all") - most * F.col("before")) / F.col("share"))
+    open_ = F.when(F.col("level") * F.col("w") <= most * F.col("source_size"), F.struct("place", "level"))
+    rows = rows.withColumn("first", F.min(open_).over(every))
+    goal = F.when(F.col("place") < F.col("first.place"), (most * F.col("source_size")).cast("double")).otherwise(F.col("first.level") * F.col("w"))
+    return rows.select("source", "source_size", "nth", goal.alias("target"))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -56,21 +71,16 @@ def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     taken = epochs * size, plus the words of [before, before + size) that lie below rest.
     quality: doc_id and quality (1 or 0); a doc_id with both counts as 1.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"))
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    found = by_source.limit(SOURCES + 1).collect()
-    if len(found) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    goals = targets([r["source_size"] for r in found])
-    table = []
-    for k, (r, goal) in enumerate(zip(found, goals, strict=True)):
-        words = int(goal + 0.5)
-        epochs = words // r["source_size"] if r["source_size"] else 0
-        table.append((k, r["source"], r["source_size"], goal, epochs, words - epochs * r["source_size"], max(1, int(r["n"] ** 0.5))))
-    sources = spark.createDataFrame(table, "nth int, _source string, source_size long, target double, epochs long, rest long, bins long")
-    rows = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["_source"])).drop("_source")
+    by_source = Scratch(docs.sparkSession).write(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
+    goals = targets(by_source.select("source", "source_size")).drop("source_size")
+    words = F.floor(F.col("target") + 0.5)
+    epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
+    sources = by_source.join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    sources = sources.select(F.col("source").alias("_source"), "nth", "source_size", "target", epochs.alias("epochs"), F.greatest(F.lit(1), F.floor(F.sqrt("n"))).cast("int").alias("bins"))
+    sources = sources.withColumn("rest", (words - F.col("epochs") * F.col("source_size")).cast("long"))
+    sources = F.broadcast(sources) if by_source.count() <= BROADCAST else sources
+    rows = rows.join(sources, rows["source"].eqNullSafe(sources["_source"])).drop("_source")
 
     weight = F.lit(QUALITY[None])
     if quality is not None:
@@ -93,10 +103,11 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFr
     found = mix(docs, quality)
     extra = (F.col("size") > 0) & (2 * (F.col("rest") - F.col("before")) >= F.col("size"))
     copies = F.when(F.col("size") > 0, F.col("epochs") + extra.cast("int")).otherwise(0)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), copies.alias("_copies")).filter("_copies > 0")
-    found = found.groupBy("_id", "_key").agg(F.max("_copies").alias("_copies"))
-    taken = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    doc, key, many, nth = fresh(docs, "doc", "key", "copies", "copy")
+    found = found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), copies.alias(many)).filter(F.col(many) > 0)
+    found = found.groupBy(doc, key).agg(F.max(many).alias(many))
+    taken = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[doc]) & (F.xxhash64(docs["text"]) == found[key]))
+    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(many).cast("int")))).select(*docs.columns)
 
 
 SQL = r"""

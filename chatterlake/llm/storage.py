@@ -25,6 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names for helpers: the wanted ones, with underscores until the table has none alike (Spark ignores case)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in have:
+            name += "_"
+        have.add(name)
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables of one run; `drop` removes one that no later step reads."""
 
@@ -52,7 +64,6 @@ class Scratch:
                 at = jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-
     def sweep(self) -> None:
         """Lets Spark delete the shuffle files of plans that are done and referred to no more."""
         gc.collect()

@@ -3,8 +3,6 @@ from __future__ import annotations
 import hashlib
 import math
 
-import pytest
-
 from chatterlake.llm import mixing as M
 
 from . import brute
@@ -71,9 +69,12 @@ def test_edges(spark):
     same = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "a b", "s"), (2, None, None)], "doc_id long, text string, source string")
     got = M.mix(same).collect()
     assert sorted(r.taken for r in got) == [0, 2, 2, 2]
-    M.SOURCES, kept = 1, M.SOURCES
-    try:
-        with pytest.raises(ValueError, match="sources"):
-            M.mix(same)
-    finally:
-        M.SOURCES = kept
+
+
+def test_many_sources_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(M, "BROADCAST", 10)
+    rows = [(i, "w " * (i % 23), f"s{i % 60}", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `_Key` int")
+    got = M.mix(docs).collect()
+    assert sorted((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got) == brute_mix([r[:3] for r in rows], {})
+    assert M.mixed_documents(docs).columns == docs.columns
