@@ -11,7 +11,12 @@ spread over many tasks.
 
 Defined cases. A null text is empty; an empty one is the end token alone. A document
 longer than a sequence is cut into whole sequences, its first piece taking the remainder.
-Rows that repeat a doc_id are packed one by one. An empty table gives no rows.
+Rows that repeat a doc_id are packed one by one. A text of any length is tokenized whole:
+beyond `LONG` characters by the tokenizers library, since the faster encoder's expressions
+fail on runs of about a million blanks; ids are the same. A null doc_id is packed like others
+and stays null. Pieces alike in length, hash and number are ranked by (doc_id, piece,
+checksum); rows alike in all of that are interchangeable. Other columns of the input are
+ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +42,14 @@ CAPACITY, END = 2048, 0
 GROUP = 512
 #: Texts tokenized at a time.
 AT_ONCE = 64
+#: Characters of a text from which the tokenizers library encodes it.
+LONG = 200_000
 #: The same vocabulary as byte_bpe_50k.json, as ranks; ids are alike but for the added tokens, which only the JSON lists.
 VOCABULARY, LISTED = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _encodings: dict[tuple, tiktoken.Encoding] = {}
+_tokenizers: dict[int, tokenizers.Tokenizer] = {}
 
 
 def added_tokens() -> dict[str, int]:
@@ -57,6 +66,14 @@ def encoding(ranks: bytes, added: dict[str, int]) -> tiktoken.Encoding:
     return _encodings[key]
 
 
+def long_ids(listed: str, text: str) -> list[int]:
+    """Ids by the tokenizers library, from the JSON of the same vocabulary."""
+    key = zlib.crc32(listed.encode())
+    if key not in _tokenizers:
+        _tokenizers[key] = tokenizers.Tokenizer.from_str(listed)
+    return _tokenizers[key].encode(text, add_special_tokens=False).ids
+
+
 def cuts(n: int, capacity: int) -> list[int]:
     """Where pieces of n tokens begin, and the end; the first piece takes what whole sequences leave."""
     first = n % capacity or capacity
@@ -67,6 +84,8 @@ def tokenized(docs: DataFrame, vocabulary: str, capacity: int, added: dict[str,
     """A row for each piece of each document: its ids' place, number and checksum."""
     with open(vocabulary, "rb") as f:
         ranks = f.read()
+    with open(public_tokenizers.path(LISTED), encoding="utf-8") as f:
+        listed = f.read()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoding(ranks, added)
@@ -75,7 +94,8 @@ def tokenized(docs: DataFrame, vocabulary: str, capacity: int, added: dict[str,
             for a in range(0, len(texts), AT_ONCE):
                 out: list = [[], [], [], [], []]
                 for k in range(a, min(a + AT_ONCE, len(texts))):
-                    own = np.array([*tokens.encode(texts[k].as_py() or "", allowed_special="all"), END], "<u4")
+                    text = texts[k].as_py() or ""
+                    own = np.array([*(long_ids(listed, text) if added and len(text) > LONG else tokens.encode(text, allowed_special="all")), END], "<u4")
                     at = cuts(len(own), capacity)
                     for p, (x, y) in enumerate(zip(at, at[1:])):
                         for column, value in zip(out, (k, p, x, y - x, zlib.crc32(own[x:y].tobytes())), strict=True):
@@ -218,10 +238,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    added: tokens that stand for themselves wherever a text has them; without it they are ordinary text.
+    added: tokens that stand for themselves wherever a text has them, by default those that the vocabulary lists.
     """
     scratch = Scratch(docs.sparkSession)
-    pieces = scratch.write(tokenized(docs, vocabulary or public_tokenizers.path(VOCABULARY), capacity, added or {}))
+    pieces = scratch.write(tokenized(docs, vocabulary or public_tokenizers.path(VOCABULARY), capacity, added_tokens() if added is None else added))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     runs, _ = plan(counts, capacity)
     salts = -(-max(counts.values(), default=1) // GROUP)

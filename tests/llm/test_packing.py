@@ -90,7 +90,6 @@ def test_pieces_and_checksums_match_the_tokenizer(spark):
     docs = spark.createDataFrame([(*t, 0, "") for t in texts], "doc_id long, text string, length int, sequence_id string")
     rows = P.pack(docs).collect()
     known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    known.encode_special_tokens = True
     want = []
     for i, t in texts:
         ids = np.array([*known.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -117,3 +116,16 @@ def test_added_tokens_are_found_in_texts(spark, tmp_path):
         at = P.cuts(len(ids), 2048)
         want += [(i, p, x, y - x, zlib.crc32(ids[x:y].tobytes())) for p, (x, y) in enumerate(zip(at, at[1:]))]
     assert sorted(tuple(r)[:5] for r in queries.op2_packing(spark, str(tmp_path)).collect()) == want
+
+
+def test_very_long_texts_and_the_end_token(spark):
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "x <|endoftext|> y", "a" * 250_000 + " <|endoftext|>", "word " * 60_000, None, ""]
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)] + [(None, "null id", 1, 2)], "doc_id long, text string, length int, salt int")
+    got = {}
+    for r in P.pack(frame).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    for i, t in [*enumerate(texts), (None, "null id")]:
+        ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        cuts = P.cuts(len(ids), P.CAPACITY)
+        assert sorted(got[i]) == [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]

@@ -49,7 +49,6 @@ def test_near_duplicates(spark, texts):
 def test_packing(spark, texts):
     rows = Q.op2_packing(spark, FOLDER).collect()
     known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    known.encode_special_tokens = True
     want = {i: [*e.ids, 0] for (i, _), e in zip(texts, known.encode_batch([t or "" for _, t in texts], add_special_tokens=False), strict=True)}
     seen = {}
     for r in rows:
