@@ -9,12 +9,16 @@ top down to its own k-th score, which the global k-th can't lie below. The last
 filters by the k-th score; a block sends its k best at most, ties by the smaller id.
 
 Scores are integer inner products of floor(256 * x). They are computed in doubles where
-that is exact, else in Python's integers; nothing overflows.
+that is exact, else in Python's integers. Scores beyond +-`MOST` count as that, so every
+finite vector takes part; floors beyond +-1e300 count as that.
 
 Defined cases. A null vector, or one with a null or non-finite component, takes no part,
 nor does a row without an id. Vectors of another length than the query score over the
-components that both have. Rows that repeat an id count once, with the smallest of their
-vectors. Fewer candidates than k: all of them. No queries or no rows: an empty result.
+components that both have; an empty one scores 0. Rows that repeat an id are candidates
+each, so an id may be listed more than once; a query's own rows are all rows with its id,
+and if it has several vectors, the k best scores of all of them count. Rows alike in score
+and id take any order among themselves. Fewer candidates than k: all of them. No queries
+or no rows: an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,15 +37,18 @@ QUERIES, CANDIDATES = 1024, 4096
 LEAST_SLOTS = 48
 #: Products below 2^53 are exact in doubles.
 EXACT = 2.0**53
+#: The largest score; a score that is never reached is below the least.
+MOST = (1 << 62) - 1
+NEVER = -(1 << 62)
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and the floors of SCALE times each component, as whole doubles; only vectors that take part."""
+    """vec_id, SCALE times each component, and a number of the row; only vectors that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     # Multiplying by a power of two is exact; only the largest doubles would leave their range.
     rows = rows.filter("vec_id is not null").filter(good)
-    return rows.select("vec_id", F.transform("v", lambda x: x * float(SCALE)).alias("v"))
+    return rows.select("vec_id", F.transform("v", lambda x: F.greatest(F.lit(-1e300), F.least(x * float(SCALE), F.lit(1e300)))).alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -54,16 +61,15 @@ def matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-NEVER = np.iinfo(np.int64).min
-
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products (queries x candidates), which the caller knows to fit 64 bits."""
-    high = (np.abs(a).max(initial=0)) * (np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """Integer inner products (queries x candidates), at most MOST either way."""
+    with np.errstate(over="ignore"):
+        high = (np.abs(a).max(initial=0)) * (np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if high < EXACT:
         return (a @ b.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
-    return (whole(a) @ whole(b).T).astype(np.int64)
+    return np.maximum(np.minimum(whole(a) @ whole(b).T, MOST), -MOST).astype(np.int64)
 
 
 def block(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,20 +88,19 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
     """query_id, rank (from 1), vec_id, score of each query's k best. is_query: a condition on vec_id."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    rows = scratch.write(quantized(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")))
+    rows = scratch.write(quantized(vectors, id_col, vector_col))
     size = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(F.array_max(F.transform("v", F.abs))).alias("high"), F.max(F.size("v")).alias("width")).first()
     if not size["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks = -(-size["q"] // QUERIES)
     slots = max(LEAST_SLOTS, -(-size["n"] // CANDIDATES))
-    top = float(size["high"] + 1) ** 2 * max(1, size["width"])
-    if top >= 2.0**62:
-        raise ValueError("scores beyond 64 bits: scale the vectors down")
-    # Equal shares of rows: hash and range would leave some of a few blocks with far more than others.
-    spread = F.xxhash64("vec_id", F.lit(5))
+    reach = int(min((min(size["high"] or 0.0, 1e100) + 1) ** 2 * max(1, size["width"]), float(MOST // 2))) + 1
+    if reach > MOST // 2:
+        reach = MOST
+    # Rows are spread by their own numbers: an id that many rows share is in all slots.
+    spread = F.xxhash64("row", F.lit(5))
     queries = rows.filter(is_query).withColumn("b", F.pmod(spread, F.lit(blocks)).cast("int"))
     right = rows.select(F.col("vec_id").alias("name"), F.col("v").alias("u"), F.pmod(spread, F.lit(slots)).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"))
-    reach = int(top) + 1
 
     def meet(state: DataFrame, work, schema: str) -> DataFrame:
         left = queries.join(state, "vec_id").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
@@ -121,7 +126,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
 
     # [low, low + BINS * wide) holds the k-th score of each query.
     wide = -(-(2 * reach + 1) // BINS)
-    state = queries.select("vec_id", F.lit(-reach).cast("long").alias("low"), F.lit(wide).cast("long").alias("wide"))
+    state = queries.select("vec_id").distinct().select("vec_id", F.lit(-reach).cast("long").alias("low"), F.lit(wide).cast("long").alias("wide"))
     while wide:
         counts = meet(state, histogram, "vec_id long, bin long, n long").groupBy("vec_id", "bin").agg(F.sum("n").alias("n"))
         ranked = counts.withColumn("above", F.sum("n").over(Window.partitionBy("vec_id").orderBy(F.desc("bin"))))

@@ -11,17 +11,12 @@ SCHEMA = "vec_id long, embedding array<double>, rank int, low string"
 
 
 def brute(rows, k=5):
-    parts = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            w = [x * 256 for x in v]
-            parts[i] = min(parts.get(i, w), w)
-    parts = {i: [math.floor(x) for x in v] for i, v in parts.items()}
+    """Every row of a query id against every row of another id; scores beyond M.MOST count as that."""
+    good = [(i, [math.floor(min(max(x * 256, -1e300), 1e300)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in parts:
-        if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(parts[q], v)), i) for i, v in parts.items() if i != q)
-            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
+    for q in {i for i, _ in good if i % 50 == 0}:
+        scored = sorted((-max(-M.MOST, min(M.MOST, sum(a * b for a, b in zip(u, v)))), i) for j, u in good if j == q for i, v in good if i != q)
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
 
@@ -47,3 +42,15 @@ def test_few_rows(spark):
     assert run(spark, []) == [] and run(spark, [(1, [1.0])]) == [] and run(spark, [(50, [1.0])]) == []
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [-1.0, 0.0])]
     assert run(spark, rows) == brute(rows)
+
+
+def test_rows_that_share_an_id_all_count(spark):
+    rows = [(0, [1.0]), (0, [-2.0]), (1, [2.0]), (1, [3.0]), (2, [1.0]), (2, [1.0]), (50, [0.5])]
+    assert run(spark, rows) == brute(rows) and (0, 1, 1, 196608) in run(spark, [(0, [1.0]), (1, [2.0]), (1, [3.0])])
+    hot = [(7, [float(i % 9), 1.0]) for i in range(300)] + [(i, [1.0, float(i % 5)]) for i in range(100, 160)]
+    assert run(spark, hot) == brute(hot)
+
+
+def test_large_finite_components(spark):
+    rows = [(0, [1e9] * 16), (1, [1e9] * 16), (2, [-1e9] * 16), (3, [1e300] * 16), (4, [1.0] * 16), (5, [1e308] + [0.0] * 15)] + [(50 + i, [i / 7.0] * 16) for i in range(30)]
+    assert run(spark, rows) == brute(rows)
