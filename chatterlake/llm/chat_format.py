@@ -4,21 +4,23 @@ A turn is `<s>[INST]role[/INST]text</s>`. Inside roles and texts every backslash
 and every control string gets a backslash after its first character, so no text can close
 or open a turn, and taking the backslashes away again gives the text back.
 
-Each assistant turn becomes an example of its own: its context is everything before its
-text, all preceding turns included, and only its text is trainable. An example is the
-place of its text in the conversation's formatted text, so a long conversation is kept
-once, not once for each reply; `expanded` writes contexts out where they are wanted.
-SQL functions only.
+Each assistant turn is exploded into an example of its own: its context is everything
+before its text, all preceding turns included, and only its text is trainable. A row of
+`examples` holds its target and the length of its context, a prefix of the conversation's
+formatted text, so a long conversation is kept once, not once for each reply; `expanded`
+writes contexts out where they are wanted. Places add up in a window over the turns, in
+time linear in them. SQL functions only.
 
 Defined cases. A null role or text is empty. Turns are in the order of (turn, role, text),
 null turns first; rows that repeat stay. A null conv_id is a conversation of its own. A
-conversation without assistant turns has no example and loses nothing. An empty table
-gives no rows. Extra columns are ignored.
+conversation without assistant turns has no example and loses nothing. A very long
+conversation is one value, as its formatted text is: it must fit a task. An empty table
+gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Control strings of the template.
@@ -40,57 +42,64 @@ def unescaped(text: Column) -> Column:
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, examples.
+    """One row per conversation: conv_id, formatted, places.
 
-    examples: for each assistant turn, in order, its nth turn (from 0), and where its
+    places: for each assistant turn, in order, its nth turn (from 0), and where its
     trainable text starts (code points, from 1) and how long it is in `formatted`.
     """
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    parts = F.transform("turns", lambda t: F.struct(
-        (t["role"] == TRAINED).alias("trained"),
-        F.concat(F.lit(OPEN + ROLE), escaped(t["role"]), F.lit(TEXT)).alias("head"),
-        escaped(t["text"]).alias("body")))
-    turns = turns.select("conv_id", parts.alias("parts"))
-    whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
-    # Starts add up from turn to turn.
-    empty = F.expr("named_struct('at', 1, 'nth', 0, 'found', cast(array() as array<struct<nth:int,start:int,length:int>>))")
-
-    def step(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["head"])
-        mine = F.array(F.struct(state["nth"].alias("nth"), start.alias("start"), F.length(p["body"]).alias("length")))
-        found = F.when(p["trained"], F.concat(state["found"], mine)).otherwise(state["found"])
-        return F.struct((start + F.length(p["body"]) + len(CLOSE)).alias("at"), (state["nth"] + 1).alias("nth"), found.alias("found"))
-
-    return turns.select("conv_id", whole.alias("formatted"), F.aggregate("parts", empty, step, lambda s: s["found"]).alias("examples"))
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = rows.select(
+        "conv_id", "turn", "role", "text", F.concat(F.lit(OPEN + ROLE), escaped(F.col("role")), F.lit(TEXT)).alias("head"), escaped(F.col("text")).alias("body"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    upto = F.sum(F.length("head") + F.length("body") + len(CLOSE)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = parts.withColumns({"nth": F.row_number().over(order) - 1, "upto": upto})
+    start = F.col("upto") - len(CLOSE) - F.length("body") + 1
+    place = F.when(F.col("role") == TRAINED, F.struct("nth", start.cast("int").alias("start"), F.length("body").alias("length")))
+    whole = F.array_sort(F.collect_list(F.struct("nth", F.concat("head", "body", F.lit(CLOSE)).alias("piece"))))
+    found = parts.groupBy("conv_id").agg(whole.alias("pieces"), F.array_sort(F.collect_list(place)).alias("places"))
+    return found.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "places")
+
+
+def examples(found: DataFrame, *kept: str) -> DataFrame:
+    """One row per example: conv_id, example, turn, context_chars (its context is so long a prefix of `formatted`), target; and the columns kept.
+
+    A conversation without examples has one row with nulls.
+    """
+    targets = F.transform("places", lambda x: F.struct(x["nth"].alias("turn"), (x["start"] - 1).alias("context_chars"), F.substring("formatted", x["start"], x["length"]).alias("target")))
+    return found.select("conv_id", *kept, targets.alias("targets")).select("conv_id", *kept, F.posexplode_outer("targets").alias("example", "x")).select(
+        "conv_id", *kept, "example", "x.turn", "x.context_chars", "x.target")
 
 
 def expanded(found: DataFrame) -> DataFrame:
     """One row per example: conv_id, example, turn, context (all before the text), target (the only trainable part)."""
-    each = found.select("conv_id", "formatted", F.posexplode("examples").alias("example", "x"))
-    context = F.substring("formatted", F.lit(1), F.col("x.start") - 1)
-    return each.select("conv_id", "example", F.col("x.nth").alias("turn"), context.alias("context"), F.substring("formatted", F.col("x.start"), F.col("x.length")).alias("target"))
+    rows = examples(found, "formatted").filter("example is not null")
+    return rows.select("conv_id", "example", "turn", F.substring("formatted", F.lit(1), F.col("context_chars")).alias("context"), "target")
 
 
-def read_back(found: DataFrame) -> DataFrame:
-    """conv_id, turns (role and text of each, unescaped), learned (the texts under the loss masks), formatted_chars."""
-    pieces = F.split("formatted", CLOSE, -1)
-    turns = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.struct(
+def turns_of(formatted_text: Column) -> Column:
+    """Role and text of each turn, unescaped, read back from a formatted text."""
+    pieces = F.split(formatted_text, CLOSE, -1)
+    return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.struct(
         unescaped(F.substring_index(F.substr(p, F.lit(len(OPEN + ROLE) + 1)), TEXT, 1)).alias("role"),
         unescaped(F.substr(p, F.instr(p, TEXT) + len(TEXT))).alias("text")))
-    learned = F.transform("examples", lambda x: unescaped(F.substring("formatted", x["start"], x["length"])))
-    return found.select("conv_id", turns.alias("turns"), learned.alias("learned"), F.length("formatted").alias("formatted_chars"))
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """What the formatted conversations hold, read back from them: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples."""
-    back = read_back(formatted(conversations))
+    """What the formatted conversations and their examples hold, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples.
+
+    loss_*: of the targets of the exploded examples, unescaped, in their order.
+    """
+    back = formatted(conversations).withColumn("turns", turns_of(F.col("formatted")))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join("learned", "")
-    return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
-        F.col("formatted_chars").cast("long").alias("formatted_chars"), F.size("learned").cast("long").alias("n_examples"))
+    whole = back.select("conv_id", "formatted", "places", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    # conv_id alone tells conversations apart; the other keys only come along, and need no shuffle of their own.
+    about = ["n_turns", "turns_sha256", "formatted_chars"]
+    each = examples(whole, *about)
+    learned = F.array_sort(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", unescaped(F.col("target")).alias("text")))))
+    found = each.groupBy("conv_id", *about).agg(learned.alias("learned")).withColumn("loss", F.array_join(F.transform("learned", lambda x: x["text"]), ""))
+    return found.select(
+        "conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars", F.size("learned").cast("long").alias("n_examples"))
 
 
 SQL = r"""
