@@ -6,12 +6,14 @@ its positions. Texts are read whole, in pieces of `PIECE` bytes whose passes sta
 so that thousands of pieces go through one matrix product at a time.
 
 Trained here in numpy by backpropagation through time, on a bounded sample: at most
-`SAMPLE` documents, those with the smallest hashes of their ids, and at most `PIECES`
-pieces of each.
+`SAMPLE` rows, those with the smallest hashes of their ids, of texts of at most
+`SAMPLE_BYTES` bytes, and at most `PIECES` pieces of each.
 
 Defined cases. A null text, or one without a letter, is `und` with score 0; so is every
-text if no language could be learned. A single learned language has score 1. An empty
-table gives no rows. Extra columns are ignored.
+text if no language could be learned. A single learned language has score 1. A very long
+text is read whole, `WIDE` pieces at a time. Rows that repeat a doc_id are read each; a null
+doc_id is not held out and stays null. Equal probabilities go to the first language by name.
+An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as T
 
-SAMPLE, PIECES = 3_000, 4
+SAMPLE, SAMPLE_BYTES, PIECES = 3_000, 32_768, 4
 PIECE, HIDDEN, BATCH, STEPS, RATE = 128, 12, 256, 240, 0.01
 #: Pieces that go through the network at once when scoring.
 WIDE = 2048
@@ -179,12 +181,14 @@ def document_probabilities(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, usable: Column | None = None, limit: int = SAMPLE) -> Model:
-    """Fits on at most `limit` documents with a language; usable: a condition on doc_id."""
-    known = docs.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
+    """Fits on at most `limit` rows with a language; usable: a condition on doc_id."""
+    known = docs.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null").filter(F.octet_length("text") <= SAMPLE_BYTES)
     if usable is not None:
         known = known.filter(usable)
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumnRenamed("doc_id", "_id")
     rows = known.join(F.broadcast(chosen), known["doc_id"] == F.col("_id")).select("doc_id", "text", "lang")
+    # Rows may repeat an id: they are bounded once more, in the same order.
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(limit)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string())]))

@@ -5,15 +5,18 @@ that inflected and compound forms count); a document is toxic if one of its sent
 P = 1 - prod(1 - p), the noisy-or. Training sees document labels
 only; the same sentence scores then say where the offence is.
 
-The training sample is bounded: at most `SAMPLE` labelled documents, those with the
-smallest hashes of their ids. A word or beginning needs `MIN_DOCS` documents, and one in
+The training sample is bounded: at most `SAMPLE` labelled rows, those with the smallest
+hashes of their ids, of texts of at most `SAMPLE_BYTES` bytes. A word or beginning needs `MIN_DOCS` documents, and one in
 `DOCS_SHARE`, to get a weight. Weights are evidence for toxicity and never negative: no
 harmless sentence around an offence can hide it.
 
 Defined cases. A null or empty text, or one without words, has no sentence: score 0.
 A label row that repeats a doc_id counts once, the larger label holding; null labels are
 left out. Without labels of both kinds no word has a weight, and every sentence gets the
-bias of `NO_MODEL`. An empty table gives no rows. Extra columns are ignored.
+bias of `NO_MODEL`. A very long text is scored whole, a few megabytes of sentences at a
+time or alone. Rows that repeat a doc_id are scored each; a null doc_id is not held out and
+stays null. Ties of ids in the sample go by the texts' hashes. An empty table gives no rows.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,15 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
+from .storage import fresh
 
 SAMPLE, MIN_DOCS, DOCS_SHARE, EPOCHS, RATE, SHRINK = 8_000, 3, 500, 120, 0.3, 0.01
 #: Bytes of the beginnings of words that are features beside the words.
 BEGINNINGS = (4, 5)
 NO_MODEL = -8.0
 THRESHOLD = 0.7
-TABLE_BITS = 20
-#: Features are screened in a table of so many bits; a feature's odds of toxic documents must be so many times the corpus's.
-SCREEN_BITS, LIFT = 22, 3.0
+#: Bytes of a text that may be in the training sample.
+SAMPLE_BYTES = 32_768
+#: A feature's odds of toxic documents must be so many times the corpus's.
+LIFT = 3.0
+#: Hashes whose low bits no feature of the model has are not looked up.
+MASK = (1 << 16) - 1
 
 #: Bytes of words: ASCII letters and digits, and all bytes of other characters.
 INK = np.zeros(256, bool)
@@ -51,13 +58,19 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Words and weights by the low bits of the hash; the heavier of two that meet stays."""
-        keys, weights = np.zeros(1 << TABLE_BITS, T.U64), np.zeros(1 << TABLE_BITS, np.float32)
-        order = np.argsort(np.abs(self.weights), kind="stable")
-        at = (self.words[order] & T.U64((1 << TABLE_BITS) - 1)).astype(np.int64)
-        keys[at], weights[at] = self.words[order], self.weights[order]
-        return keys, weights
+    def __post_init__(self):
+        self.possible = np.zeros(MASK + 1, bool)
+        self.possible[(self.words & T.U64(MASK)).astype(np.int64)] = True
+
+    def of(self, features: np.ndarray) -> np.ndarray:
+        """The weight of each feature, 0 if it has none: an exact search among the model's."""
+        out = np.zeros(features.shape, np.float32)
+        at = np.nonzero(self.possible[(features & T.U64(MASK)).astype(np.int64)])
+        held = features[at]
+        place = np.minimum(np.searchsorted(self.words, held), max(len(self.words) - 1, 0))
+        if len(self.words):
+            out[at] = np.where(self.words[place] == held, self.weights[place], np.float32(0))
+        return out
 
 
 @dataclass
@@ -102,24 +115,24 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
+def summed(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    found, place = np.unique(keys, return_inverse=True)
+    return [found, *[np.bincount(place, c, minlength=len(found)).astype(np.int64) for c in counts]]
+
+
 def screened(texts: pa.Array, labels: np.ndarray) -> np.ndarray:
     """Hashes of the features in enough documents, toxic ones above their share. Others can't earn a weight above 0."""
-    size = 1 << SCREEN_BITS
-    keys, docs, toxic = np.zeros(size, T.U64), np.zeros(size, np.int32), np.zeros(size, np.int32)
+    have = [np.zeros(0, T.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
     for a, b in T.slices(texts):
         s = sentences_of(texts.slice(a, b - a))
         sizes = np.diff(np.append(s.begin, len(s.words)))
-        owner = np.repeat(np.repeat(s.doc, sizes), s.words.shape[1])
-        features = s.words.ravel()
-        at = (features & T.U64(size - 1)).astype(np.int64)
-        free = keys[at] == 0
-        keys[at[free]] = features[free]
-        mine = (keys[at] == features) & (features != 0)
-        pairs = np.unique(owner[mine] * size + at[mine])
-        docs += np.bincount(pairs % size, minlength=size).astype(np.int32)
-        toxic += np.bincount(pairs[labels[a:b][pairs // size]] % size, minlength=size).astype(np.int32)
-    enough = docs >= max(MIN_DOCS, len(labels) // DOCS_SHARE)
-    return np.sort(keys[enough & (toxic * float((~labels).sum()) > LIFT * labels.sum() * (docs - toxic))])
+        features, owner, _ = T.distinct(s.words.ravel(), np.repeat(np.repeat(s.doc, sizes), s.words.shape[1]))
+        toxic = labels[a:b][owner].astype(np.int64) if len(owner) else np.zeros(0, np.int64)
+        have = summed(*[np.concatenate([x, y]) for x, y in zip(have, (features, np.ones(len(features), np.int64), toxic), strict=True)])
+    keys, docs, toxic = have
+    enough = (docs >= max(MIN_DOCS, len(labels) // DOCS_SHARE)) & (keys != 0)
+    return keys[enough & (toxic * float((~labels).sum()) > LIFT * labels.sum() * (docs - toxic))]
 
 
 def fit(texts: pa.Array, labels: np.ndarray) -> Model:
@@ -159,21 +172,20 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     return Model(vocabulary, weights.astype(np.float32), float(bias))
 
 
-def log_odds(s: Sentences, table: tuple[np.ndarray, np.ndarray], bias: float) -> np.ndarray:
-    keys, weights = table
-    at = (s.words & T.U64((1 << TABLE_BITS) - 1)).astype(np.int64)
-    found = np.where(keys[at] == s.words, weights[at], np.float32(0))
-    return np.add.reduceat(found.sum(axis=1, dtype=np.float64), s.begin) + bias if len(s.begin) else np.zeros(0)
+def log_odds(s: Sentences, model: Model) -> np.ndarray:
+    return np.add.reduceat(model.of(s.words).sum(axis=1, dtype=np.float64), s.begin) + model.bias if len(s.begin) else np.zeros(0)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable=None, limit: int = SAMPLE) -> Model:
-    """Fits on at most `limit` labelled documents; usable: a condition on doc_id that they must meet."""
+    """Fits on at most `limit` labelled rows; usable: a condition on doc_id that they must meet."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if usable is not None:
         known = known.filter(usable)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumnRenamed("doc_id", "_id")
     docs = docs.select("doc_id", "text")
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("doc_id", "text", "toxic")
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    # Rows may repeat an id: they are bounded once more, in the same order.
+    rows = rows.select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int64())]))
@@ -194,12 +206,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every whole text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.table()
         for batch in batches:
             texts = batch.column("text")
             for a, b in T.slices(texts):
                 s = sentences_of(texts.slice(a, b - a))
-                total = np.bincount(s.doc, softplus(log_odds(s, table, model.bias)), minlength=b - a)
+                total = np.bincount(s.doc, softplus(log_odds(s, model)), minlength=b - a)
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(-np.expm1(-total))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, score double")
@@ -209,13 +220,12 @@ def locate_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataF
     """The sentences with a score of at least `least`: doc_id, sentence (from 0), its text and score."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.table()
         for batch in batches:
             texts = batch.column("text")
             for a, b in T.slices(texts):
                 part = texts.slice(a, b - a)
                 s = sentences_of(part)
-                p = 1 / (1 + np.exp(-np.clip(log_odds(s, table, model.bias), -60, 60)))
+                p = 1 / (1 + np.exp(-np.clip(log_odds(s, model), -60, 60)))
                 hot = np.flatnonzero(p >= least)
                 data = T.text_buffer(part)[0].tobytes()
                 first = np.searchsorted(s.doc, s.doc[hot])
@@ -239,5 +249,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted to be toxic, all their columns unchanged; rows without a doc_id stay."""
-    bad = toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_id"), "left_anti")
+    (name,) = fresh(docs, "id")
+    bad = toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"] == bad[name], "left_anti")

@@ -51,3 +51,39 @@ def test_nothing_to_learn_from(spark):
     one = spark.createDataFrame([(i, "abc", "qq") for i in range(8)], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.score) for r in X.language_id(one).collect()} == {("qq", 1.0)}
     assert X.language_id(docs.limit(0)).count() == 0
+
+
+def plain_probabilities(model, text):
+    """Both passes, byte by byte and unit by unit, afresh in each piece."""
+    a, h = {k: v.astype(float) for k, v in model.arrays.items()}, X.HIDDEN
+    raw = text.encode()
+    sums = [0.0] * len(model.languages)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def states(data, table, turn):
+        state, out = [0.0] * h, []
+        for byte in data:
+            x = table[byte]
+            g = [sum(turn[r][c] * state[c] for c in range(h)) for r in range(3 * h)]
+            fresh = [np.tanh(x[2 * h + k] + sigmoid(x[k] + g[k]) * g[2 * h + k]) for k in range(h)]
+            state = [state[k] + sigmoid(x[h + k] + g[h + k]) * (fresh[k] - state[k]) for k in range(h)]
+            out.append(state)
+        return out
+
+    for at in range(0, len(raw), X.PIECE):
+        piece = raw[at : at + X.PIECE]
+        padded = piece + bytes(X.PIECE - len(piece))  # the backward pass begins behind the end, on zeros
+        forth, behind = states(piece, a["table_f"], a["turn_f"]), states(padded[::-1], a["table_b"], a["turn_b"])[::-1]
+        for f, b in zip(forth, behind):
+            z = [a["bias"][k] + sum(a["out"][k][c] * v for c, v in enumerate([*f, *b])) for k in range(len(sums))]
+            e = [np.exp(v - max(z)) for v in z]
+            sums = [s + v / sum(e) for s, v in zip(sums, e)]
+    return [s / len(raw) for s in sums]
+
+
+def test_probabilities_match_a_plain_network():
+    texts = ["thering shan über", "ü" * 70, "ab" * 64, "x"]
+    model = X.fit(pa.array(["the cat sat " * 20, "über keit ung " * 20, "que ción " * 30]), ["aa", "bb", "cc"], steps=30)
+    got = X.document_probabilities(model, pa.array(texts))
+    for row, text in zip(got, texts):
+        assert max(abs(x - y) for x, y in zip(row, plain_probabilities(model, text))) < 1e-5
