@@ -1,21 +1,26 @@
 """Removal of long repeated passages, found by recompression.
 
-A text is a string of words. Each round renames it: a run of one symbol becomes one
+A text is a string of words. Each naming round renames it: a run of one symbol becomes one
 symbol; then every symbol tosses a coin that depends only on its name and the round, and
 a heads followed by a tails becomes one symbol. Names are hashes of what they stand for,
-so equal substrings get equal interior symbols in all documents, in any partition, with
-no table of names to share. With each symbol goes the span of words that decides it (its
-own words and the neighbours that its boundaries depend on).
-
-If a window repeats, so does every symbol decided inside it. So symbols that occur once
-rule out all windows that hold their spans; one count over all symbols finds them. The
-few windows left are verified: their own word hashes are counted over all documents, and
-those that occur once are struck off. No window is judged on a part of the corpus, and
-none that repeats can be lost: a window that holds no symbol's span is simply verified.
+so equal substrings get equal interior symbols in all documents, in any partition, without
+a table of names that each task would have to hold. With each symbol goes the span of words
+that decides it (its own words and the neighbours that its boundaries depend on).
+
+If a window repeats, so does every symbol decided inside it. So each Spark round (`LEVELS`
+naming rounds deep) counts the names of the symbols decided inside windows that are still
+open, over all documents: a name that occurs once closes all windows that hold its span,
+shared names keep them open, and the next round looks at longer symbols in what is left.
+The windows that shared symbols propose in the end are verified: 128 bits of hash of the
+window itself are counted over all documents, and those that occur once are struck off. No
+window is judged on a part of the corpus, and none that repeats can be lost: a window that
+holds no symbol's span simply stays open.
 
 Defined cases. A null or empty text has no words, and its kept text is empty. A text with
-fewer words than the window loses nothing. Rows that are alike in id and text are copies
-of one another: their windows repeat. An empty table gives no rows. Ids may be null.
+fewer words than the window loses nothing. A very long text is worked on alone, whole (up to
+2^28 words). Rows that are alike in id and text are copies of one another: their windows
+repeat. Ties have no part: every occurrence of a repeated window goes. An empty table gives
+no rows. Ids may be null. Further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +36,9 @@ from pyspark.sql import functions as F
 from . import textkit as T
 from .storage import Scratch
 
-WINDOW, ROUNDS = 35, 6
+WINDOW = 35
+#: Naming rounds behind the symbols that each Spark round counts.
+LEVELS = (4, 7)
 #: A span that reaches over a text's edge: such a symbol rules out nothing.
 FAR = 1 << 40
 
@@ -80,12 +87,12 @@ def pairs_named(sym, doc, low, high, at, turn: int):
     return name, doc[keep], np.where(paired, np.minimum(low[keep], low[mate]), low[keep]), np.where(paired, np.maximum(high[keep], high[mate]), high[keep]), at[keep]
 
 
-def symbols(words: np.ndarray, first: np.ndarray):
-    """Symbols after all rounds: name, text, and the span of words that decides each (in places of the whole batch)."""
+def symbols(words: np.ndarray, first: np.ndarray, rounds: int):
+    """Symbols after so many rounds: name, text, and the span of words that decides each (in places of the whole batch)."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     low = np.arange(len(words), dtype=np.int64)
     state = (words, doc, low, low + 1, low)
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         if len(words):
             state = pairs_named(*runs_named(*state, words), turn)
     return state[:4]
@@ -103,34 +110,49 @@ def only(batch: pa.RecordBatch, a: int, b: int, owner: np.ndarray) -> list[pa.Ar
     return [batch.column("id").take(at), batch.column("text_key").take(at)]
 
 
-def symbol_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each symbol that is decided inside some window; its place packs start, text size and span."""
-    for batch in batches:
-        texts = batch.column("text")
-        for a, b in T.slices(texts):
-            _, _, _, first, words = parsed(texts.slice(a, b - a))
-            name, doc, low, high = symbols(words, first)
-            ok = (low > -1) & (high - low <= WINDOW) & (np.diff(first)[doc] >= WINDOW)
-            name, doc, low, high = name[ok], doc[ok], low[ok], high[ok]
-            place = ((low - first[doc]) << 34) | (np.diff(first)[doc] << 6) | (high - low)
-            yield pa.record_batch([pa.array(name.view(np.int64)), *only(batch, a, b, doc), pa.array(place)], names=["name", "id", "text_key", "place"])
+def symbol_rows(rounds: int):
+    """A row for each symbol that is decided inside some open window; its place packs start, text size and span."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in T.slices(texts):
+                _, _, _, first, words = parsed(texts.slice(a, b - a))
+                name, doc, low, high = symbols(words, first, rounds)
+                ok = (low > -1) & (high - low <= WINDOW) & (np.diff(first)[doc] >= WINDOW)
+                name, doc, low, high = name[ok], doc[ok], low[ok], high[ok]
+                # Windows that hold [low, high) start from high - WINDOW to low.
+                upto = np.concatenate([[0], np.cumsum(window_starts(batch.column("ranges").slice(a, b - a), first))])
+                ok = upto[low + 1] > upto[np.maximum(high - WINDOW, first[doc])]
+                name, doc, low, high = name[ok], doc[ok], low[ok], high[ok]
+                place = ((low - first[doc]) << 34) | (np.diff(first)[doc] << 6) | (high - low)
+                yield pa.record_batch([pa.array(name.view(np.int64)), *only(batch, a, b, doc), pa.array(place)], names=["name", "id", "text_key", "place"])
+
+    return work
 
 
 def window_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of window starts [from, to) that no once-only symbol rules out."""
+    """The runs of window starts [from, to) that stay open: those open before (all, where there is no list) without the ones that a once-only symbol closes."""
     for batch in batches:
-        places = batch.column("once")
-        offsets, values = places.offsets.to_numpy(), places.values.to_numpy()
-        out = []
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            place = values[a:b]
+        once, before, out = batch.column("once"), batch.column("ranges"), []
+        for places, ranges in zip(once, before, strict=True):
+            if not places.is_valid:
+                out.append(ranges.values.to_numpy(zero_copy_only=False).astype(np.int32))
+                continue
+            place = places.values.to_numpy(zero_copy_only=False)
             windows = int(place[0] >> 6) % (1 << 28) - WINDOW + 1
             low = place >> 34
             high = low + (place & 63)
-            ruled = np.zeros(windows + 1, np.int64)
-            np.add.at(ruled, np.maximum(high - WINDOW, 0), 1)
-            np.add.at(ruled, np.minimum(low + 1, windows), -1)
-            left = np.concatenate([[False], np.cumsum(ruled)[:-1] == 0, [False]])
+            closed = np.zeros(windows + 1, np.int64)
+            np.add.at(closed, np.maximum(high - WINDOW, 0), 1)
+            np.add.at(closed, np.minimum(low + 1, windows), -1)
+            left = np.cumsum(closed)[:-1] == 0
+            if ranges.is_valid:
+                was, edges = np.zeros(windows + 1, np.int64), ranges.values.to_numpy(zero_copy_only=False)
+                was[edges[::2]] += 1
+                was[edges[1::2]] -= 1
+                left &= np.cumsum(was)[:-1] > 0
+            left = np.concatenate([[False], left, [False]])
             out.append(np.flatnonzero(left[1:] != left[:-1]).astype(np.int32))
         yield pa.record_batch([batch.column("id"), batch.column("text_key"), listed(out)], names=["id", "text_key", "ranges"])
 
@@ -164,8 +186,8 @@ def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, _, _, first, words = parsed(texts.slice(a, b - a))
             at = np.flatnonzero(window_starts(batch.column("ranges").slice(a, b - a), first))
             owner = np.searchsorted(first, at, side="right") - 1
-            name = T.span_hashes(words, at, at + WINDOW, T.STEP)
-            yield pa.record_batch([pa.array(name.view(np.int64)), *only(batch, a, b, owner), pa.array((at - first[owner]).astype(np.int32))], names=["name", "id", "text_key", "place"])
+            name, more = (T.span_hashes(words, at, at + WINDOW, base).view(np.int64) for base in (T.STEP, T.BASE))
+            yield pa.record_batch([pa.array(name), pa.array(more), *only(batch, a, b, owner), pa.array((at - first[owner]).astype(np.int32))], names=["name", "more", "id", "text_key", "place"])
 
 
 def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +214,9 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
 
-def met_once(rows: DataFrame) -> DataFrame:
+def met_once(rows: DataFrame, *names: str) -> DataFrame:
     """Per text, the places of the names that occur once in the corpus. Counts are summed before the shuffle."""
-    counted = rows.groupBy("name").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("id", "text_key", "place")])
+    counted = rows.groupBy(*names).agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("id", "text_key", "place")])
     return counted.filter("n = 1").groupBy("id", "text_key").agg(F.collect_list("place").alias("once"))
 
 
@@ -204,13 +226,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     place = "id long, text_key long, place"
-    once = met_once(docs.mapInArrow(symbol_rows, f"name long, {place} long"))
-    ranges = scratch.write(once.mapInArrow(window_ranges, "id long, text_key long, ranges array<int>"))
 
-    def of_text(left: DataFrame, right: DataFrame) -> DataFrame:
+    def of_text(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
         right = right.withColumnRenamed("id", "_id").withColumnRenamed("text_key", "_key")
-        return left.join(right, left["id"].eqNullSafe(right["_id"]) & (left["text_key"] == right["_key"]), "left").drop("_id", "_key")
-
-    left = of_text(docs, ranges)
-    struck = met_once(left.mapInArrow(window_rows, f"name long, {place} int")).withColumnRenamed("once", "struck")
+        joined = left.join(right, left["id"].eqNullSafe(right["_id"]) & (left["text_key"] == right["_key"]), how)
+        if how == "full":
+            joined = joined.withColumns({"id": F.coalesce("id", "_id"), "text_key": F.coalesce("text_key", "_key")})
+        return joined.drop("_id", "_key")
+
+    ranges, left = None, docs.withColumn("ranges", F.lit(None).cast("array<int>"))
+    for rounds in LEVELS:
+        once = met_once(left.mapInArrow(symbol_rows(rounds), f"name long, {place} long"), "name")
+        both = once.withColumn("ranges", F.lit(None).cast("array<int>")) if ranges is None else of_text(ranges, once, "full")
+        was, ranges = ranges, scratch.write(both.mapInArrow(window_ranges, "id long, text_key long, ranges array<int>"))
+        if was is not None:
+            scratch.drop(was)
+        scratch.sweep()
+        left = of_text(docs, ranges)
+    struck = met_once(left.mapInArrow(window_rows, f"name long, more long, {place} int"), "name", "more").withColumnRenamed("once", "struck")
     return of_text(left, struck).mapInArrow(cut_texts, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
