@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .storage import Scratch
 
+#: Parts that the members of one label are dealt over.
+SALTS = 16
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
@@ -23,10 +26,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # An offer also goes to the node's present label, which may stand for many nodes.
         hooked = labels.join(offers, "node")
         roots = hooked.groupBy(F.col("component").alias("node")).agg(F.min(F.least("offer", "component")).alias("root_offer"))
-        lowered = labels.join(roots, "node", "left").join(offers, "node", "left").select(
-            "node", F.least("component", "root_offer", "offer").alias("component"))  # least() skips nulls
-        up = lowered.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        jumped = scratch.write(lowered.join(up, "component", "left").select("node", F.least("component", "up").alias("component")))
+        lowered = scratch.write(labels.join(roots, "node", "left").join(offers, "node", "left").select(
+            "node", F.least("component", "root_offer", "offer").alias("component")))  # least() skips nulls
+        # Only nodes that are labels have a label to go on to, and of those only the ones that moved. A label may stand for
+        # a third of all nodes: its members are dealt over SALTS parts, and the few labels go to each.
+        held = lowered.select(F.col("component").alias("node")).distinct()
+        up = lowered.join(held, "node", "left_semi").filter("component < node")
+        up = up.select(F.col("node").alias("component"), F.col("component").alias("up"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = lowered.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        jumped = scratch.write(salted.join(up, ["component", "salt"], "left").select("node", F.coalesce("up", "component").alias("component")))
+        scratch.drop(lowered)
         moved = jumped.join(labels.withColumnRenamed("component", "was"), "node").filter("component < was").limit(1).count()
         scratch.drop(labels)
         labels = jumped

@@ -10,12 +10,15 @@ Recall. Two sets of similarity s meet in some table with probability
 sketches of `SKETCH` minima disagree so much that a similarity of 0.75 would show it with
 probability below 3e-4 are not compared. All other candidates in different components
 are compared on their full sets, so a link is never claimed wrongly. A few star rounds
-merge most of a large group first, so the pairs compared are those that decide something.
+merge most of a large group first, so the pairs compared are those that decide something:
+in the last round only classes outside the largest component of some table key meet the rest.
 
 Defined cases. A null text or one without words has an empty set and links with nothing.
-Fewer than five words: the whole sequence is the one shingle. Equal sets form one class,
-compared once. Rows that repeat a doc_id are one document each. A row without a doc_id is
-compared only with equal sets and is never `kept`. An empty table gives no rows. Further input columns are ignored.
+Fewer than five words: the whole sequence is the one shingle. Equal sets (128 bits of hash)
+form one class, compared once. A very long text is one set, worked on alone. Rows that
+repeat a doc_id are one document each. A row without a doc_id is compared only with equal
+sets and is never `kept`. Ties have no part: the smallest id names a component. An empty
+table gives no rows. Further input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,21 +32,21 @@ from pyspark.sql import functions as F
 
 from . import textkit as T
 from .components import components
-from .storage import Scratch
+from .storage import Scratch, fresh
 
 WIDTH, PERCENT = 5, 75
 ROWS, HALVES = 2, 10
 #: Minima that the sketch keeps four bits of; 16 to a long.
-SKETCH = 1024
+SKETCH = 512
 #: (longs, minima that must agree in them): four-bit agreement is 0.766 at similarity 0.75, less 3.7 deviations.
-AGREE = ((6, 58), (64, 733))
+AGREE = ((6, 58), (32, 356))
 #: Star rounds that merge the bulk of large groups before what is left is compared exhaustively.
 STARS = 3
 
 _rng = np.random.default_rng(75)
 MULTIPLY = _rng.integers(0, 2**32, SKETCH, dtype=np.uint32) | np.uint32(1)
 FLIP = _rng.integers(0, 2**32, SKETCH, dtype=np.uint32)
-SIGNATURE = "doc_id long, n_shingles long, node long, halves array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, halves array<long>, sketch array<long>"
 
 
 def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,12 +57,12 @@ def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return T.distinct(*T.shingles(T.word_hashes(raw, starts, ends), first, WIDTH))
 
 
-def nodes(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each set; equal sets have equal names."""
+def names(values: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """128 bits in two columns for each set; equal sets have equal names."""
     if not len(begin):
-        return np.zeros(0, T.U64)
+        return [np.zeros(0, np.int64)] * 2
     size = np.diff(np.append(begin, len(values))).astype(T.U64)
-    return T.mix(np.add.reduceat(T.mix(values + T.BASE), begin) + T.mix(np.add.reduceat(T.mix(values ^ T.STEP), begin) + size))
+    return [T.mix(np.add.reduceat(T.mix(x), begin) + size).view(np.int64) for x in (values + T.BASE, values ^ T.STEP)]
 
 
 def minima(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -81,11 +84,11 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, owner, begin = sets_of(texts.slice(a, b - a))
             n = b - a
             size = np.bincount(owner, minlength=n).astype(np.int64)
-            node = np.zeros(n, T.U64)
+            name = np.zeros((2, n), np.int64)
             halves, sketch = np.zeros((n, 2 * HALVES), np.int64), np.zeros((n, SKETCH // 16), np.int64)
             if len(begin):
                 rows = owner[begin]
-                node[rows] = nodes(values, begin)
+                name[:, rows] = names(values, begin)
                 low = minima(values, begin)
                 half = np.zeros((len(rows), 2 * HALVES), T.U64)
                 for r in range(ROWS):
@@ -96,8 +99,8 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketch[rows] = np.bitwise_or.reduce(nibbles, axis=2).view(np.int64)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             yield pa.record_batch(
-                [batch.column("doc_id").slice(a, n).cast(pa.int64()), pa.array(size), pa.array(node.view(np.int64)), lists(halves), lists(sketch)],
-                names=["doc_id", "n_shingles", "node", "halves", "sketch"])
+                [batch.column("doc_id").slice(a, n).cast(pa.int64()), pa.array(size), pa.array(name[0]), pa.array(name[1]), lists(halves), lists(sketch)],
+                names=["doc_id", "n_shingles", "h1", "h2", "halves", "sketch"])
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,32 +110,32 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, owner, begin = sets_of(texts.slice(a, b - a))
             cuts = np.append(begin, len(values)).astype(np.int32)
             yield pa.record_batch(
-                [pa.array(nodes(values, begin).view(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.view(np.int64)))],
-                names=["node", "items"])
+                [*map(pa.array, names(values, begin)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.view(np.int64)))],
+                names=["h1", "h2", "items"])
 
 
-def alike() -> Column:
-    """Whether two sketches, s_a and s_b, may be of sets with similarity 0.75; a few longs settle most."""
+def agreeing(s_a: str, s_b: str, *bounds: tuple[int, int]) -> Column:
+    """Whether two sketches may be of sets with similarity 0.75, by the first longs of them."""
     ones = F.lit(0x1111111111111111).cast("long")
 
-    def differing(a: Column, b: Column) -> Column:
-        x = a.bitwiseXOR(b)
+    def differing(i: int) -> Column:
+        x = F.col(s_a)[i].bitwiseXOR(F.col(s_b)[i])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones))
 
-    (few, few_agree), (all_, all_agree) = AGREE
-    first = sum((differing(F.col("s_a")[i], F.col("s_b")[i]) for i in range(few)), F.lit(0))
-    whole = F.aggregate(F.zip_with("s_a", "s_b", differing), F.lit(0), lambda total, x: total + x)
-    return (16 * few - first >= few_agree) & (16 * all_ - whole >= all_agree)
+    out = F.lit(True)
+    for longs, agree in bounds:
+        out &= 16 * longs - sum((differing(i) for i in range(longs)), F.lit(0)) >= agree
+    return out
 
 
 def first_meeting() -> Column:
-    """Whether table (i, j) is the first that two documents share: they differ in all halves before i and before j."""
-    out = F.lit(True)
+    """Whether x and y, which share the i-th half of the first collection, share none before it and some of the second: a table, and no pair twice."""
+    before, second = F.lit(True), F.lit(False)
     for k in range(HALVES):
-        out &= (F.col("i") <= k) | (F.col("halves_a")[k] != F.col("halves_b")[k])
-        out &= (F.col("j") <= HALVES + k) | (F.col("halves_a")[HALVES + k] != F.col("halves_b")[HALVES + k])
-    return out
+        before &= (F.col("x.i") <= k) | (F.col("x.short")[k] != F.col("y.short")[k])
+        second |= F.col("x.short")[HALVES + k] == F.col("y.short")[HALVES + k]
+    return before & second
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -150,73 +153,91 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id: smallest doc_id with an equal set (null for an empty one). component_id:
     smallest doc_id reachable over links of similarity 0.75 or more. kept: they are equal.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = scratch.write(docs.mapInArrow(signatures, SIGNATURE))
-    classes = scratch.write(
-        every.filter("n_shingles > 0").groupBy("node")
-        .agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")))
+    classes = every.filter("n_shingles > 0").groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
+    # A class is known by a number from here on; the numbers are kept with the table.
+    classes = scratch.write(classes.withColumn("node", F.monotonically_increasing_id()))
+    members = scratch.write(every.select("doc_id", "n_shingles", "h1", "h2"))
+    scratch.drop(every)
+    scratch.sweep()
 
     # Halves that two classes share, back with their class; then the tensored table keys.
     half = classes.filter("n_shingles > 1").select("node", F.posexplode("halves").alias("at", "half"))
     common = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     mine = half.join(common, "half").groupBy("node").agg(
-        F.collect_list(F.when(F.col("at") < HALVES, F.struct("half", "at"))).alias("first"),
-        F.collect_list(F.when(F.col("at") >= HALVES, F.struct("half", "at"))).alias("second"))
-    keys = mine.select("node", F.explode("first").alias("h"), "second").select("node", "h", F.explode("second").alias("g")).select(
-        F.xxhash64("h.half", "g.half").alias("key"), "node", F.col("h.at").cast("byte").alias("i"), F.col("g.at").cast("byte").alias("j"))
+        F.collect_list(F.when(F.col("at") < HALVES, F.col("half"))).alias("first"), F.collect_list(F.when(F.col("at") >= HALVES, F.col("half"))).alias("second"))
+    keys = mine.select("node", F.explode("first").alias("h"), "second").select("node", "h", F.explode("second").alias("g")).select(F.xxhash64("h", "g").alias("key"), "node")
     several = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = scratch.write(keys.join(several, "key"))
-
-    held = buckets.select("node").distinct()
-    chosen = classes.join(held, "node", "left_semi").select(F.col("class_id").alias("doc_id")).distinct()
-    texts = docs.join(chosen, "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(full_sets, "node long, items array<long>").join(held, "node", "left_semi")
-    sets = scratch.write(sets.dropDuplicates(["node"]))
-    sketches = scratch.write(classes.join(held, "node", "left_semi").select("node", "halves", "sketch"))
-
-    def sketch_of(x: str) -> DataFrame:
-        return sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("halves").alias(f"halves_{x}"))
-
-    labels = scratch.write(sketches.select("node", F.col("node").alias("component")))
-    parts = buckets.withColumn("component", F.col("node"))
+    scratch.sweep()
+
+    held = buckets.select("node").distinct().join(classes, "node")
+    held = scratch.write(held.select("node", "h1", "h2", "class_id", "halves", "sketch"))
+    texts = docs.join(held.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(full_sets, "h1 long, h2 long, items array<long>").join(held.select("h1", "h2", "node"), ["h1", "h2"])
+    sets = scratch.write(sets.select("node", "items").dropDuplicates(["node"]))
+    places = scratch.write(classes.select("node", "h1", "h2", "class_id"))
+    scratch.drop(classes)
+    scratch.sweep()
+
+    def with_sketches(pairs: DataFrame, longs: int) -> DataFrame:
+        for s in "ab":
+            pairs = pairs.join(held.select(F.col("node").alias(s), F.slice("sketch", 1, longs).alias(f"s_{s}")), s)
+        return pairs
+
+    labels = scratch.write(held.select("node", F.col("node").alias("component")))
     seen = None
     for turn in range(STARS + 1):
-        # Buckets that hold more than one component are all that matters from here on.
-        mixed = parts.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.col("node"), "node")).alias("leader")).filter("low < high")
+        parts = buckets.join(labels, "node")
         if turn < STARS:
+            # Buckets that hold more than one component are all that matters; their leaders meet the others.
+            leader = F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.col("node"), "node"))
+            mixed = parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), leader.alias("leader")).filter("low < high")
             star = parts.join(mixed.select("key", "leader"), "key").filter("node != leader")
             star = star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "component", "leader").distinct()
             at_leader = labels.select(F.col("node").alias("leader"), F.col("component").alias("other"))
             pairs = star.join(at_leader, "leader").filter("component != other").select("a", "b").distinct()
-            pairs = pairs.join(sketch_of("a"), "a").join(sketch_of("b"), "b").filter(alike()).select("a", "b")
+            if seen is not None:
+                pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            few, all_ = AGREE
+            likely = with_sketches(pairs, few[0]).filter(agreeing("s_a", "s_b", few)).select("a", "b")
+            pairs = with_sketches(likely, all_[0]).filter(agreeing("s_a", "s_b", all_)).select("a", "b")
         else:
-            rest = scratch.write(parts.join(mixed.select("key"), "key"))
-            left = rest.select("key", "i", "j", F.col("node").alias("a"), F.col("component").alias("component_a")).join(sketch_of("a"), "a")
-            right = rest.select("key", F.col("node").alias("b"), F.col("component").alias("component_b")).join(sketch_of("b"), "b")
-            apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
-            pairs = left.join(right, "key").filter(apart & first_meeting() & alike()).select("a", "b").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            # A pair in a bucket but in different components has an end outside the bucket's largest component.
+            sizes = parts.groupBy("key", "component").agg(F.count("*").alias("n"))
+            mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("parts > 1")
+            rest = parts.join(mixed.select("key", "largest"), "key").groupBy("node").agg(F.first("component").alias("component"), F.bool_or(F.col("component") != F.col("largest")).alias("outside"))
+            short = F.transform("halves", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("short")
+            rest = scratch.write(rest.join(held.select("node", "halves", "sketch"), "node").select("node", "component", "outside", "halves", short, "sketch"))
+            each = rest.select("node", "component", "outside", "short", "sketch", F.posexplode(F.slice("halves", 1, HALVES)).alias("i", "half"))
+            x, y = each.filter("outside").alias("x"), each.alias("y")
+            apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.outside") | (F.col("x.node") < F.col("y.node")))
+            met = x.join(y, (F.col("x.half") == F.col("y.half")) & apart & first_meeting() & agreeing("x.sketch", "y.sketch", *AGREE))
+            pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            if seen is not None:
+                pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs)
         links = scratch.write(confirmed(pairs, sets))
+        scratch.sweep()
         seen = pairs if seen is None else seen.union(pairs)
         if not links.limit(1).count():
             continue
         of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
         edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
         merged = components(edges.filter("a != b"), scratch).select(F.col("node").alias("component"), F.col("component").alias("to"))
-        labels = scratch.write(labels.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-        parts = buckets.join(labels, "node")
+        was, labels = labels, scratch.write(labels.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        scratch.drop(was, links)
+        scratch.sweep()
 
-    placed = classes.select("node", "class_id").join(labels.withColumnRenamed("component", "top"), "node", "left")
-    placed = placed.withColumn("top", F.coalesce("top", "node"))
+    scratch.drop(buckets, held, sets)
+    placed = places.join(labels.withColumnRenamed("component", "top"), "node", "left").withColumn("top", F.coalesce("top", "node"))
     smallest = placed.groupBy("top").agg(F.min("class_id").alias("smallest"))
-    found = placed.join(smallest, "top").select("node", "class_id", "smallest")
-    out = every.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(found, "node", "left")
+    found = placed.join(smallest, "top").select("h1", "h2", "class_id", "smallest")
+    full = F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1")
+    out = members.select("doc_id", "n_shingles", full, "h2").join(found, ["h1", "h2"], "left")
     component = F.coalesce("smallest", "doc_id")
     return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
@@ -226,5 +247,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay; rows that share a doc_id stay if one of them does.
     """
-    found = near_duplicates(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_stays"))
-    return docs.join(found.filter("not _stays"), docs["doc_id"] == F.col("_id"), "left_anti")
+    (name,) = fresh(docs, "id")
+    found = near_duplicates(docs).groupBy(F.col("doc_id").alias(name)).agg(F.max("kept").alias("stays")).filter("not stays").select(name)
+    return docs.join(found, docs["doc_id"] == found[name], "left_anti")
