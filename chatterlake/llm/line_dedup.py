@@ -4,70 +4,81 @@ A line is what stands between line feeds; its tokens are the distinct words in i
 goes if an earlier one, by (doc_id, place in the text), has token sets of Jaccard
 similarity 0.75 or more with it; lines are judged on the input, not on what is left.
 
-Equal lines are one class; only classes are joined. Tokens are ordered by rarity
-(how often their hash bucket occurs in the corpus; ties by hash), and a class is listed
-under the first n - ceil(0.75 n) + 1 of its n tokens: two sets that are similar enough
-share one of those. Classes that meet there must also have fitting sizes, enough tokens
-left from the meeting place on, and maps of 256 bits of their tokens that differ in no
-more bits than sets so similar can. What passes is verified on the full sets. All filters are
-necessary conditions, so no pair is lost.
+Equal lines (128 bits of hash) are one class, known by its first place; only classes are
+joined. Tokens are ordered by rarity (how often their hash bucket occurs in
+the corpus; ties by hash). Two sets that are similar enough share a token among the first
+n - ceil(0.75 n) + 1 of their n tokens, and two among one token more. So a class is listed
+under each of the former that is not frequent, and, as shared tokens may all be frequent,
+under each pair of frequent ones among the latter: no list is that of a frequent word.
+Classes that meet must also have fitting sizes, enough tokens left from the meeting
+place on, and parities of 128 bits of their tokens that differ in no more bits than sets
+so similar can. What passes is verified on the full sets. All filters are necessary
+conditions, so no pair is lost.
+
+A class needs only one earlier class to go. Before the join each class meets the earliest
+class of a few buckets of equal minima (sums before the shuffle, one row a class and bucket):
+that settles most of a large group of like lines in linear work, and the join is for what is
+still open.
 
 Defined cases. A null text has no lines; a line without words is in no class and stays.
 An empty text has one line without words. Rows that repeat a doc_id are texts of their
-own; rows alike in id and text are one text, and each is cut alike. An empty table gives no rows. Clashing columns stay.
+own; rows alike in id and text are one text, and each is cut alike. A null doc_id comes
+before all others. Lines alike in place (rows that share an id) count in the order of their
+texts' hashes. Very long lines are sets like others, of any size. An empty table gives no
+rows. Clashing columns stay.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, fresh
 
 PERCENT = 75
 #: Hash buckets whose counts order tokens; their table is this long at any scale.
 BUCKETS = 1 << 16
-#: Lists are gone through in so many shares; maps of tokens have so many longs (a power of two).
-TURNS, MAPS = 6, 4
+#: Levels to a doubling of a bucket's count, and the count from which a token is frequent.
+LEVELS, FREQUENT = 4, 1 << 14
+#: Lists, and the four buckets of minima, are gone through in so many shares, so that the disk holds one share at a time.
+TURNS, BUCKET_TURNS = 4, 2
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 BLANK = r"[\x09-\x0D\x20]+"
+PLACE = ("_doc", "nth", "_key")
 
 
-def tokens(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(line, BLANK), ""))
+def spaced(text: Column) -> Column:
+    """The text with a plain space in the place of each other blank but the line feed: splitting by one character is fast."""
+    for blank in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    rows = docs.select("_doc", "_key", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
-    return rows.withColumn("c", F.xxhash64("line"))
+def tokens(line: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(spaced(line), " "), ""))
 
 
-def bucket(token: Column) -> Column:
-    return F.xxhash64(token).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """A row for each line that has words, named by c and d."""
+    rows = docs.select("_doc", "_key", F.posexplode(F.split("text", "\n")).alias("nth", "line")).filter(F.trim(spaced(F.col("line"))) != "")
+    return rows.withColumns({"c": F.xxhash64("line"), "d": F.xxhash64(F.lit(9), "line")})
 
 
 def rarity(docs: DataFrame) -> Column:
-    """An array that holds, for each bucket, eight times the binary logarithm of its tokens' occurrences."""
-    counts = docs.select(F.explode(F.split("text", BLANK)).alias("t")).groupBy(bucket(F.col("t")).alias("b")).count()
+    """An array (a literal: folded once) that holds, for each bucket, LEVELS times the binary logarithm of its tokens' occurrences."""
+    words = docs.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("t")).filter("t <> ''")
+    counts = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
     level = [0] * BUCKETS
     for r in counts.collect():  # BUCKETS rows at most
-        level[r["b"]] = min(127, int(8 * math.log2(1 + r["count"])))
-    return F.split(F.lit(",".join(map(str, level))), ",").cast("array<tinyint>")
-
-
-def ranked(line: Column, level: Column) -> Column:
-    """Names of the line's tokens, rarest first: the bucket's level, then 56 bits of the hash."""
-    def rank(token: Column) -> Column:
-        return F.shiftleft(F.get(level, bucket(token)).cast("long"), 56).bitwiseOR(F.xxhash64(token).bitwiseAND(F.lit((1 << 56) - 1)))
-
-    return F.sort_array(F.transform(tokens(line), rank))
+        level[r["b"]] = min(127, int(LEVELS * math.log2(1 + r["count"])))
+    return F.split(F.lit(",".join(map(str, level))), ",").cast("array<bigint>")
 
 
 def listed(n: Column) -> Column:
-    """Length of the prefix under which a set of n tokens is listed."""
+    """Length of the prefix in which similar sets share a token."""
     return (n - F.ceil(n * PERCENT / 100) + 1).cast("int")
 
 
@@ -78,123 +89,131 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, level: Column) -> DataFrame:
-    """One row per different line that has words: its name c, first place, number of tokens n, prefix and maps of its tokens."""
-    rows = lines_of(docs).select("_doc", "_key", "nth", "c", ranked(F.col("line"), level).alias("r")).filter(F.size("r") > 0)
-    # Names of 31 bits are enough to be listed under: two that agree by chance only meet for nothing.
-    short = F.transform(F.slice("r", F.lit(1), listed(F.size("r"))), lambda x: F.xxhash64(x).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    maps = [F.expr(f"aggregate(r, 0L, (m, x) -> if((x & {MAPS - 1}) = {k}, m | shiftleft(1L, cast(shiftright(x, 8) & 63 as int)), m))").alias(f"m{k}") for k in range(MAPS)]
-    rows = rows.select("_doc", "_key", "nth", "c", F.size("r").alias("n"), short.alias("prefix"), *maps)
-    return rows.groupBy("c").agg(F.min(F.struct("_doc", "nth", "_key")).alias("first"), *[F.first(x).alias(x) for x in ("n", "prefix", *(f"m{k}" for k in range(MAPS)))])
+    """One row per different line: its name, first place, lines, tokens n, the prefix and one token more, parities, minima."""
+    rows = lines_of(docs).groupBy("c", "d").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("lines"), F.first("line").alias("line"))
+    # Sets as hashes; each step is a projection of its own, so that nothing is computed twice.
+    about = ["c", "d", "first", "lines"]
+    rows = rows.select(*about, F.array_distinct(F.array_remove(F.transform(F.split(spaced(F.col("line")), " "), lambda x: F.xxhash64(x)), F.xxhash64(F.lit("")))).alias("h"))
+    ranks = F.transform("h", lambda x: F.shiftleft(level[x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")], 56).bitwiseOR(F.shiftrightunsigned(x, 8)))
+    other = F.transform("h", lambda x: x.bitwiseXOR(F.lit(0x5555555555555555)))
+    parity = [F.expr(f"aggregate(h, 0L, (m, x) -> if((x & 64) = {64 * k}, m ^ shiftleft(1L, cast(x & 63 as int)), m))").alias(f"m{k}") for k in range(2)]
+    rows = rows.select(*about, F.size("h").alias("n"), F.sort_array(ranks).alias("r"), *parity, F.array_min("h").alias("a1"), F.array_max("h").alias("b1"), other.alias("o"))
+    rows = rows.select(*about, "n", F.slice("r", F.lit(1), listed(F.col("n")) + 1).alias("r"), "m0", "m1", "a1", "b1", F.array_min("o").alias("a2"), F.array_max("o").alias("b2"))
+    minima = F.array(*[F.xxhash64(F.lit(k), a, b) for k, (a, b) in enumerate((("a1", "b1"), ("a2", "b2"), ("a1", "b2"), ("a2", "b1")))])
+    return rows.select(*about, "n", "r", "m0", "m1", minima.alias("minima"))
+
+
+def may_be_similar(x: str, y: str) -> Column:
+    """Size and parity filters on the columns of two classes: both are necessary for similarity."""
+    n_x, n_y = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in ("m0", "m1")), F.lit(0))
+    return (100 * F.least(n_x, n_y) >= PERCENT * F.greatest(n_x, n_y)) & (differ * (100 + PERCENT) <= (100 - PERCENT) * (n_x + n_y))
+
+
+def with_leaders(classes: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each class and the earliest class of every bucket of minima it is in, of this turn's, if they may be similar."""
+    several = 4 // BUCKET_TURNS
+    rows = classes.select(F.explode(F.slice("minima", turn * several + 1, several)).alias("key"), F.struct("first", "n", "m0", "m1").alias("x"))
+    leaders = rows.groupBy("key").agg(F.min("x").alias("y"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    met = rows.join(leaders, "key").filter((F.col("x.first") != F.col("y.first")) & may_be_similar("x", "y"))
+    return met.select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct()
 
 
 def listings(classes: DataFrame, turn: int) -> DataFrame:
-    """A narrow row for each token that a class is listed under, of this turn's share of all tokens.
-
-    line: its place in the text, twice, plus 1 while the class is open. sizes: n in the
-    upper, the token's place in the prefix in the lower half.
-    """
-    rows = classes.select("c", F.col("first._doc").alias("doc"), (F.col("first.nth").cast("long") * 2 + F.col("open").cast("long")).alias("line"), "n", *[f"m{k}" for k in range(MAPS)], F.posexplode("prefix").alias("at", "p"))
-    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    return rows.filter(F.col("p") % TURNS == turn).select("p", "c", "doc", "line", sizes.alias("sizes"), *[f"m{k}" for k in range(MAPS)])
-
-
-def may_be_similar(a: str, b: str) -> Column:
-    """Size, position and bit filters on two listings: all are necessary for similarity."""
-    n = lambda x: F.shiftright(F.col(f"{x}.sizes"), 32)
-    left = lambda x: n(x) - F.col(f"{x}.sizes").bitwiseAND(F.lit(0xFFFFFFFF))
-    total = n(a) + n(b)
-    sizes = 100 * F.least(n(a), n(b)) >= PERCENT * F.greatest(n(a), n(b))
-    # J >= t needs t / (1 + t) of both sizes in common: this token and what follows it must be enough.
-    common = F.least(left(a), left(b)) * (100 + PERCENT) >= PERCENT * total
-    differ = sum((F.bit_count(F.col(f"{a}.m{k}").bitwiseXOR(F.col(f"{b}.m{k}"))) for k in range(MAPS)), F.lit(0))
-    return sizes & common & (differ * (100 + PERCENT) <= (100 - PERCENT) * total)
-
-
-def with_earliest(classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): each class and the earliest class of every list it is in, if they may be similar. No more rows than listings."""
-    rows = listings(classes, turn)
-    x = F.struct("c", "sizes", *[f"m{k}" for k in range(MAPS)])
-    rows = rows.select(x.alias("x"), F.first(x).over(Window.partitionBy("p").orderBy("doc", "line", "c")).alias("y"))
-    return rows.filter((F.col("x.c") != F.col("y.c")) & may_be_similar("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    """A narrow row for each of this turn's lists that a class is in: p, doc, line (nth twice, plus 1 if open), key, sizes (n and the meeting place), parities."""
+    frequent = int(LEVELS * math.log2(1 + FREQUENT)) << 56
+    # Ranks are sorted, so the frequent tokens are the last; a single token is listed whatever it is.
+    rows = classes.select("first", "open", "n", "m0", "m1", "r", F.size(F.filter("r", lambda x: x < frequent)).alias("rare"))
+    alone = F.slice("r", F.lit(1), F.when(F.col("n") == 1, 1).otherwise(F.least(F.col("rare"), listed(F.col("n")))))
+    pairs = F.expr("""flatten(transform(slice(r, rare + 1, size(r)), (x, i) -> transform(slice(r, cast(rare + i + 2 as int), size(r)),
+        y -> named_struct('p', xxhash64(x, y), 'at', cast(rare + i as int)))))""")
+    pairs = F.when((F.col("n") > 1) & (F.col("rare") < F.size("r")), pairs)
+    singles = F.transform(alone, lambda x, i: F.struct(x.alias("p"), i.cast("int").alias("at")))
+    lists = F.concat(singles, F.coalesce(pairs, F.expr("cast(array() as array<struct<p:bigint,at:int>>)")))
+    rows = rows.select("first", "open", "n", "m0", "m1", F.explode(lists).alias("l")).filter(F.pmod("l.p", F.lit(TURNS)) == turn)
+    line = F.col("first.nth").cast("long") * 2 + F.col("open").cast("long")
+    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("l.at").cast("long"))
+    return rows.select(F.col("l.p").alias("p"), F.col("first._doc").alias("doc"), line.alias("line"), F.col("first._key").alias("key"), sizes.alias("sizes"), "m0", "m1")
 
 
 def with_earlier(classes: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b): each class that is still open and every earlier one that shares a list with it and may be similar."""
     rows = listings(classes, turn)
     x, y = rows.alias("x"), rows.alias("y")
-    nth = lambda r: F.shiftright(F.col(f"{r}.line"), 1)
-    earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & ((nth("y") < nth("x")) | ((nth("y") == nth("x")) & (F.col("y.c") < F.col("x.c")))))
+    n = {s: F.shiftright(F.col(f"{s}.sizes"), 32) for s in "xy"}
+    left = {s: n[s] - F.col(f"{s}.sizes").bitwiseAND(F.lit(0xFFFFFFFF)) for s in "xy"}
+    nth = {s: F.shiftright(F.col(f"{s}.line"), 1) for s in "xy"}
+    total = n["x"] + n["y"]
+    later = (F.col("x.doc") > F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & ((nth["x"] > nth["y"]) | ((nth["x"] == nth["y"]) & (F.col("x.key") > F.col("y.key")))))
     # One condition on both sides, so that the sides stay alike and one shuffle serves both.
-    open_and_earlier = F.least(F.col("x.line").bitwiseAND(F.lit(1)), earlier.cast("long")) == 1
-    meet = x.join(y, F.col("x.p") == F.col("y.p")).filter(open_and_earlier & may_be_similar("x", "y"))
-    return meet.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    open_and_later = F.least(F.col("x.line").bitwiseAND(F.lit(1)), later.cast("long")) == 1
+    sizes = 100 * F.least(n["x"], n["y"]) >= PERCENT * F.greatest(n["x"], n["y"])
+    # J >= t needs t / (1 + t) of both sizes in common: the first shared token and what follows it must be enough.
+    common = F.least(left["x"], left["y"]) * (100 + PERCENT) >= PERCENT * total
+    differ = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in ("m0", "m1")), F.lit(0))
+    met = x.join(y, (F.col("x.p") == F.col("y.p")) & open_and_later & sizes & common & (differ * (100 + PERCENT) <= (100 - PERCENT) * total))
+    place = {s: F.struct(F.col(f"{s}.doc").alias("_doc"), nth[s].cast("int").alias("nth"), F.col(f"{s}.key").alias("_key")) for s in "xy"}
+    return met.select(place["x"].alias("a"), place["y"].alias("b")).distinct()
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """_d, _k and `_gone`, the places of the lines to remove, for each keyed text that has any.
-
-    Lists are gone through in TURNS shares, and shuffle files of finished steps are let go,
-    so that the disk holds one share at a time. First each class meets the earliest of its
-    lists only: that settles most of a large group of like lines in linear work. What is
-    still open meets all earlier classes of its lists.
-    """
+    """_d, _k and `_gone`, the places of the lines to remove, for each keyed text that has any."""
     scratch = Scratch(docs.sparkSession)
 
-    def per_text(rows: DataFrame, name: str, value: Column) -> DataFrame:
-        return rows.groupBy(F.col("_doc").alias("_d"), F.col("_key").alias("_k")).agg(F.collect_set(value).alias(name))
+    def per_text(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(F.col("_doc").alias("_d"), F.col("_key").alias("_k")).agg(F.collect_set("nth").alias(name))
 
-    def turns(step, classes: DataFrame) -> DataFrame:
+    def turns(step, classes: DataFrame, many: int) -> DataFrame:
         found = []
-        for turn in range(TURNS):
+        for turn in range(many):
             found.append(scratch.write(step(classes, turn)))
             scratch.sweep()
         pairs = found[0]
         for more in found[1:]:
             pairs = pairs.union(more)
-        pairs = scratch.write(pairs.distinct())
-        scratch.drop(*found)
-        return pairs
+        return pairs.distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Classes a with a similar earlier class b, by their full sets, read from the texts of their first places."""
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(places, "c")
-        held = of_texts(docs, per_text(involved.select("c", "first.*"), "_wanted", F.struct("nth", "c")))
-        held = held.select(F.split("text", "\n").alias("lines"), F.explode("_wanted").alias("w"))
-        names = F.transform(tokens(F.col("lines")[F.col("w.nth")]), lambda x: F.xxhash64(x))
-        sets = scratch.write(held.select(F.col("w.c").alias("c"), names.alias("t")).dropDuplicates(["c"]))
-        side = lambda x: sets.select(F.col("c").alias(x), F.col("t").alias(f"t_{x}"))
+        """First places of the classes a with a similar earlier class b, by their full sets, read from the texts of their first places."""
+        pairs = scratch.write(pairs)
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().select("x.*")
+        held = of_texts(docs, per_text(involved, "_wanted"), "inner")
+        held = held.select("_doc", "_key", F.split("text", "\n").alias("lines"), F.explode("_wanted").alias("nth"))
+        held = held.select(F.struct(*PLACE).alias("x"), tokens(F.get("lines", F.col("nth"))).alias("t")).dropDuplicates(["x"])
+        sets = scratch.write(held.select("x", F.transform("t", lambda x: F.xxhash64(x)).alias("t")))
+        side = lambda s: sets.select(F.col("x").alias(s), F.col("t").alias(f"t_{s}"))
         joined = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("s", F.size(F.array_intersect("t_a", "t_b")))
-        found = scratch.write(joined.filter(100 * F.col("s") >= PERCENT * (F.size("t_a") + F.size("t_b") - F.col("s"))).select(F.col("a").alias("c")).distinct())
-        scratch.drop(sets)
+        found = scratch.write(joined.filter(100 * F.col("s") >= PERCENT * (F.size("t_a") + F.size("t_b") - F.col("s"))).select(F.col("a").alias("first")).distinct())
+        scratch.drop(sets, pairs)
+        scratch.sweep()
         return found
 
-    classes = scratch.write(classes_of(docs, rarity(docs)))
-    scratch.sweep()
-    places = scratch.write(classes.select("c", "first"))
-    later = confirmed(turns(with_earliest, classes.withColumn("open", F.lit(True))))
+    named = scratch.write(classes_of(docs, rarity(docs)))
     scratch.sweep()
-    left = scratch.write(classes.join(later.withColumn("open", F.lit(False)), "c", "left").withColumn("open", F.coalesce("open", F.lit(True))))
-    scratch.drop(classes)
+    later = confirmed(turns(with_leaders, named, BUCKET_TURNS))
+    places = scratch.write(named.select("c", "d", "first", "lines"))
+    left = scratch.write(named.join(later.withColumn("open", F.lit(False)), "first", "left").select("first", F.coalesce("open", F.lit(True)).alias("open"), "n", "r", "m0", "m1"))
+    scratch.drop(named)
     scratch.sweep()
-    pairs = turns(with_earlier, left)
+    later = scratch.write(later.union(confirmed(turns(with_earlier, left, TURNS))).withColumn("later", F.lit(True)))
     scratch.drop(left)
-    later = scratch.write(later.union(confirmed(pairs)))
     scratch.sweep()
-    status = places.join(later.withColumn("later", F.lit(True)), "c", "left")
-    here = F.struct("_doc", "nth", "_key")
-    gone = lines_of(docs).select("_doc", "_key", "nth", "c").join(status, "c").filter(F.coalesce("later", F.lit(False)) | (here != F.col("first")))
-    return per_text(gone, "_gone", F.col("nth"))
+    # Only lines of classes that occur twice or go altogether can go.
+    status = places.join(later, "first", "left").filter("lines > 1 or later")
+    here = F.struct(*PLACE)
+    gone = lines_of(docs).drop("line").join(status, ["c", "d"]).filter(F.coalesce("later", F.lit(False)) | (here != F.col("first")))
+    return per_text(gone, "_gone")
 
 
-def of_texts(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right, (left["_doc"] == right["_d"]) & (left["_key"] == right["_k"]), "left").drop("_d", "_k")
+def of_texts(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    return left.join(right, (left["_doc"] == right["_d"]) & (left["_key"] == right["_k"]), how).drop("_d", "_k")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, _key (the text's hash), n_lines, n_removed and kept_text (null for a null text)."""
     docs = keyed(docs, id_col, text_col)
     found = of_texts(docs, repeated_lines(docs)).withColumns({"_lines": F.split("text", "\n"), "_gone": F.coalesce("_gone", F.array().cast("array<int>"))})
-    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    kept = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n"))
     return found.select(
         F.nullif("_doc", F.lit(NO_ID)).alias("doc_id"), "_key", F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.size("_gone").cast("long").alias("n_removed"), kept.alias("kept_text"))
@@ -207,12 +226,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their repeated lines, all columns kept; n_chars, if there, is counted anew."""
-    found = dedup_lines(docs).groupBy("doc_id", "_key").agg(F.first("kept_text").alias("_kept"), F.max("n_removed").alias("_removed")).withColumnRenamed("doc_id", "_id")
-    rest = docs.withColumn("_text_key", F.xxhash64("text")).drop("text")
-    out = rest.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
-    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("_kept")}
+    inner = keyed(docs, "doc_id", "text")
+    doc, key, gone = fresh(docs, "doc", "key", "gone")
+    found = repeated_lines(inner).select(F.col("_d").alias(doc), F.col("_k").alias(key), F.col("_gone").alias(gone))
+    here = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == found[doc]) & (F.xxhash64(docs["text"]) == found[key])
+    out = docs.join(found, here, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    columns = {c: F.col(c) for c in docs.columns} | {"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_removed") > 0, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        columns["n_chars"] = F.when(F.col(gone).isNotNull(), F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.select(*[v.alias(c) for c, v in columns.items()])
 
 
@@ -220,8 +242,7 @@ SQL = r"""
 WITH split_ AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents
 ), lines AS (
-  SELECT doc_id, nth, line, list_distinct(regexp_extract_all(line, '[^ 	-
-]+')) AS t FROM split_
+  SELECT doc_id, nth, line, list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS t FROM split_
 ), classes AS (
   SELECT line, any_value(t) AS t, any_value(len(t)) AS n, min(struct_pack(doc_id, nth)) AS first FROM lines WHERE len(t) > 0 GROUP BY line
 ), words AS (

@@ -3,21 +3,12 @@ from __future__ import annotations
 import hashlib
 import random
 
-import pytest
-
 from chatterlake.llm import line_dedup as L
 
 from . import brute
 
 
-
-@pytest.fixture(autouse=True)
-def few_shares(monkeypatch):
-    """Two shares of the lists show as much as six, in less time."""
-    monkeypatch.setattr(L, "TURNS", 2)
-
-
-SCHEMA = "doc_id long, text string, n_chars long, line string, c int"
+SCHEMA = "doc_id long, text string, n_chars long, line string, c int, _id int, _key int, `Gone` int"
 
 
 def want(rows):
@@ -38,7 +29,7 @@ def want(rows):
 
 
 def held_against_brute(spark, rows):
-    docs = spark.createDataFrame([(i, t, len(t or ""), "x", 1) for i, t in rows], SCHEMA)
+    docs = spark.createDataFrame([(i, t, len(t or ""), "x", 1, 1, 1, 1) for i, t in rows], SCHEMA)
     expected = want([(i, t) for i, t in rows if t is not None]) | {i: (0, 0, "") for i, t in rows if t is None}
     got = {r.doc_id: tuple(r)[1:] for r in L.report(docs).collect()}
     assert got == {i: (n, g, hashlib.sha256(k.encode()).hexdigest()) for i, (n, g, k) in expected.items()}
@@ -63,6 +54,17 @@ def test_groups_of_similar_lines_and_edges(spark):
     held_against_brute(spark, rows)
 
 
+def test_frequent_tokens_are_listed_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(L, "FREQUENT", 3)
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([1, 2, 3, 5, 9, 20]))] for _ in range(15)]
+    rows = []
+    for i in range(60):
+        words = [w if rng.random() > 0.1 else f"n{rng.randrange(30)}" for w in rng.choice(bases)]
+        rows.append((i, "\n".join([" ".join(words), f"n{i % 7}", f" n{i % 7}\t"])))
+    held_against_brute(spark, rows)
+
+
 def test_filters_lose_no_pair_of_the_threshold(spark):
     a = [f"t{i}" for i in range(12)]
     rows = [(1, " ".join(a)), (2, " ".join(a[:9])), (3, " ".join([*a, "x", "y", "z", "q"])), (4, " ".join([*a[:6], "u", "v"])), (5, " ".join(a[:8]))]
@@ -70,7 +72,7 @@ def test_filters_lose_no_pair_of_the_threshold(spark):
 
 
 def test_rows_alike_null_ids_and_empty_tables(spark):
-    docs = spark.createDataFrame([(None, "one two\none two", 1, "x", 1), (7, "one two\nmore", 1, "x", 1), (7, "one two\nmore", 1, "x", 1), (7, "more", 1, "x", 1)], SCHEMA)
+    docs = spark.createDataFrame([(None, "one two\none two", 1, "x", 1, 1, 1, 1), (7, "one two\nmore", 1, "x", 1, 1, 1, 1), (7, "one two\nmore", 1, "x", 1, 1, 1, 1), (7, "more", 1, "x", 1, 1, 1, 1)], SCHEMA)
     got = sorted((str(r.doc_id), r.text) for r in L.without_repeats(docs).collect())
     assert got == [("7", ""), ("7", ""), ("7", "more"), ("None", "one two")]
     assert L.report(docs.limit(0)).count() == 0
