@@ -45,3 +45,17 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in P.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
     assert minhash_dedup.keep_one(docs).count() == 0
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base, "a"), (1, base, "a"), (2, base + " tail", "a"), (3, None, None), (4, "", "b"), (None, "no id here at all", "b"), (None, None, None), (5, f"{base}\n{base}\nown line", "b"), (6, "x " * 20_000, "c")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, _id int, _key int, `ID` int, copies int, _copy int, `Gone` int, stays int"
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), 1, 2, 3, 4, 5, 6, 7) for i, t, s in rows], schema)
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), schema)
+    assert 0 < docs.count()
+    pieces = P.STAGES[-1][1](spark, docs, FOLDER)
+    assert pieces.filter("piece = 0").count() == docs.count()
