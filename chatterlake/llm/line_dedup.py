@@ -99,8 +99,11 @@ def classes_of(docs: DataFrame, level: Column) -> DataFrame:
     parity = [F.expr(f"aggregate(h, 0L, (m, x) -> if((x & 64) = {64 * k}, m ^ shiftleft(1L, cast(x & 63 as int)), m))").alias(f"m{k}") for k in range(2)]
     rows = rows.select(*about, F.size("h").alias("n"), F.sort_array(ranks).alias("r"), *parity, F.array_min("h").alias("a1"), F.array_max("h").alias("b1"), other.alias("o"))
     rows = rows.select(*about, "n", F.slice("r", F.lit(1), listed(F.col("n")) + 1).alias("r"), "m0", "m1", "a1", "b1", F.array_min("o").alias("a2"), F.array_max("o").alias("b2"))
+    # Ranks are sorted, so the frequent tokens are the last. Names of 32 bits are enough to be listed under: two that agree by chance only meet for nothing.
+    frequent = int(LEVELS * math.log2(1 + FREQUENT)) << 56
+    rows = rows.withColumns({"rare": F.size(F.filter("r", lambda x: x < frequent)), "p": F.transform("r", lambda x: F.hash(x))})
     minima = F.array(*[F.xxhash64(F.lit(k), a, b) for k, (a, b) in enumerate((("a1", "b1"), ("a2", "b2"), ("a1", "b2"), ("a2", "b1")))])
-    return rows.select(*about, "n", "r", "m0", "m1", minima.alias("minima"))
+    return rows.select(*about, "n", F.col("p").alias("r"), "rare", "m0", "m1", minima.alias("minima"))
 
 
 def may_be_similar(x: str, y: str) -> Column:
@@ -121,16 +124,14 @@ def with_leaders(classes: DataFrame, turn: int) -> DataFrame:
 
 def listings(classes: DataFrame, turn: int) -> DataFrame:
     """A narrow row for each of this turn's lists that a class is in: p, doc, line (nth twice, plus 1 if open), key, sizes (n and the meeting place), parities."""
-    frequent = int(LEVELS * math.log2(1 + FREQUENT)) << 56
-    # Ranks are sorted, so the frequent tokens are the last; a single token is listed whatever it is.
-    rows = classes.select("first", "open", "n", "m0", "m1", "r", F.size(F.filter("r", lambda x: x < frequent)).alias("rare"))
+    # A single token is listed whatever it is.
     alone = F.slice("r", F.lit(1), F.when(F.col("n") == 1, 1).otherwise(F.least(F.col("rare"), listed(F.col("n")))))
     pairs = F.expr("""flatten(transform(slice(r, rare + 1, size(r)), (x, i) -> transform(slice(r, cast(rare + i + 2 as int), size(r)),
         y -> named_struct('p', xxhash64(x, y), 'at', cast(rare + i as int)))))""")
     pairs = F.when((F.col("n") > 1) & (F.col("rare") < F.size("r")), pairs)
-    singles = F.transform(alone, lambda x, i: F.struct(x.alias("p"), i.cast("int").alias("at")))
+    singles = F.transform(alone, lambda x, i: F.struct(x.cast("long").alias("p"), i.cast("int").alias("at")))
     lists = F.concat(singles, F.coalesce(pairs, F.expr("cast(array() as array<struct<p:bigint,at:int>>)")))
-    rows = rows.select("first", "open", "n", "m0", "m1", F.explode(lists).alias("l")).filter(F.pmod("l.p", F.lit(TURNS)) == turn)
+    rows = classes.select("first", "open", "n", "m0", "m1", F.explode(lists).alias("l")).filter(F.pmod("l.p", F.lit(TURNS)) == turn)
     line = F.col("first.nth").cast("long") * 2 + F.col("open").cast("long")
     sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("l.at").cast("long"))
     return rows.select(F.col("l.p").alias("p"), F.col("first._doc").alias("doc"), line.alias("line"), F.col("first._key").alias("key"), sizes.alias("sizes"), "m0", "m1")
@@ -177,7 +178,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         """First places of the classes a with a similar earlier class b, by their full sets, read from the texts of their first places."""
         pairs = scratch.write(pairs)
         involved = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().select("x.*")
-        held = of_texts(docs, per_text(involved, "_wanted"), "inner")
+        # The same join at every size: texts are too many to be looked up in one table.
+        held = of_texts(docs, per_text(involved, "_wanted").hint("merge"), "inner")
         held = held.select("_doc", "_key", F.split("text", "\n").alias("lines"), F.explode("_wanted").alias("nth"))
         held = held.select(F.struct(*PLACE).alias("x"), tokens(F.get("lines", F.col("nth"))).alias("t")).dropDuplicates(["x"])
         sets = scratch.write(held.select("x", F.transform("t", lambda x: F.xxhash64(x)).alias("t")))
@@ -192,7 +194,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     scratch.sweep()
     later = confirmed(turns(with_leaders, named, BUCKET_TURNS))
     places = scratch.write(named.select("c", "d", "first", "lines"))
-    left = scratch.write(named.join(later.withColumn("open", F.lit(False)), "first", "left").select("first", F.coalesce("open", F.lit(True)).alias("open"), "n", "r", "m0", "m1"))
+    scratch.sweep()
+    left = scratch.write(named.join(later.withColumn("open", F.lit(False)).hint("merge"), "first", "left").select("first", F.coalesce("open", F.lit(True)).alias("open"), "n", "r", "rare", "m0", "m1"))
     scratch.drop(named)
     scratch.sweep()
     later = scratch.write(later.union(confirmed(turns(with_earlier, left, TURNS))).withColumn("later", F.lit(True)))
