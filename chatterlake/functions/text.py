@@ -94,8 +94,8 @@ def processing_text(raw: Column, tags: Column) -> Column:
 
 
 def compact(text: Column) -> Column:
-    """Lower case, punctuation other than #:+- to spaces."""
-    return squeeze(F.translate(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s#:/+-]", " "), "/_", "  "))
+    """Lower case; runs of white space, underscores and punctuation other than #:+- as one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}#:+-]+", " "))
 
 
 def template_key(text: Column) -> Column:
@@ -210,6 +210,16 @@ def shingles(compact_text: Column) -> Column:
     return F.array_distinct(let(F.filter(F.split(compact_text, " "), lambda t: t != ""), of_tokens))
 
 
+def shingle_names(compact_text: Column) -> Column:
+    """The same shingles as 64-bit hashes; a word triple's is made from its words' hashes, no string is built for it."""
+    def of_words(h: Column) -> Column:
+        triples = F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
+        return F.when(F.size(h) >= 3, triples).otherwise(F.transform(shingles(compact_text), lambda x: F.xxhash64(x)))
+
+    hashes = F.transform(F.split(compact_text, " "), lambda t: F.xxhash64(t))
+    return F.array_distinct(let(F.array_remove(hashes, F.xxhash64(F.lit(""))), of_words))
+
+
 def shared_share(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays taken as sets, four digits; 0 for two empty ones."""
     union = F.size(F.array_union(a, b))

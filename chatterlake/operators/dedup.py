@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lineage import cut
+from .lineage import Stored, cut
 
 #: Similarity of near duplicates, on the value rounded to four digits.
 SIMILAR = 0.82
@@ -17,15 +17,15 @@ def fingerprint(compact: Column) -> Column:
     return F.when(F.length(compact) >= 10, F.sha2(compact, 256))
 
 
-def representative() -> Column:
+def representative(length: Column) -> Column:
     """An aggregate: the longest text's mention, then the shallowest, then the first."""
-    return F.min(F.struct((-F.length("compact")).alias("a"), F.col("depth").alias("b"), F.col("mention_id").alias("c")))["c"]
+    return F.min(F.struct((-length).alias("a"), F.col("depth").alias("b"), F.col("mention_id").alias("c")))["c"]
 
 
 def exact_clusters(mentions: DataFrame) -> DataFrame:
     """cluster_id, cluster_size, representative of each fingerprint that two or more mentions share."""
     marked = mentions.withColumn("_print", fingerprint(F.col("compact"))).filter("_print is not null")
-    groups = marked.groupBy("_print").agg(F.count("*").alias("cluster_size"), representative().alias("representative_id")).filter("cluster_size >= 2")
+    groups = marked.groupBy("_print").agg(F.count("*").alias("cluster_size"), representative(F.length("compact")).alias("representative_id")).filter("cluster_size >= 2")
     return groups.select(F.concat(F.lit("exact:"), F.substring("_print", 1, 16)).alias("cluster_id"), "cluster_size", "representative_id", "_print")
 
 
@@ -34,24 +34,54 @@ def exact_members(mentions: DataFrame) -> DataFrame:
     return marked.join(exact_clusters(mentions), "_print").select("mention_id", "cluster_id", "cluster_size", "representative_id")
 
 
-def near_pairs(mentions: DataFrame, least: float = SIMILAR) -> DataFrame:
+def copied(mentions: DataFrame) -> DataFrame:
+    """mention_id of the members of exact clusters, from one reading of the texts."""
+    marked = mentions.select("mention_id", fingerprint(F.col("compact")).alias("_print")).filter("_print is not null")
+    return marked.withColumn("_size", F.count("*").over(Window.partitionBy("_print"))).filter("_size >= 2").select("mention_id")
+
+
+def rare_first(mentions: DataFrame, floor: float, store: Stored) -> DataFrame:
+    """mention_id, n, x, left and least: a row for each shingle that a set is listed under, what is left of its list from there on, and what similar sets share.
+
+    A set has at most d = n - ceil(n * floor) shingles that a similar one lacks. So the 2 d + 1 first shingles of both, in
+    the order of their names, share d + 1 at least, by the smaller set's d: only those are counted, a third of all. A set
+    of which fewer occur elsewhere is like no other. The rest is listed under its rarest ones, as many as similar sets
+    can't avoid sharing; those that occur once meet nobody and only count as places.
+    """
+    lacking = lambda n: n - F.ceil(n * floor)
+    shared = lambda n: F.least(n, 2 * lacking(n) + 1) - lacking(n)
+    n = F.col("n")
+    names = mentions.select("mention_id", T.shingle_names(F.col("compact")).alias("h")).select("mention_id", F.size("h").alias("n"), F.sort_array("h").alias("h"))
+    first = names.select("mention_id", "n", F.slice("h", F.lit(1), F.least(n, 2 * lacking(n) + 1).cast("int")).alias("h"))
+    # Outer: Spark would compute the sets once more to leave empty ones out.
+    each = first.select("mention_id", "n", F.explode_outer("h").alias("x")).filter("x is not null")
+    often = store.write(each.withColumn("df", F.count("*").over(Window.partitionBy("x")).cast("int")).filter("df > 1"))
+    own = Window.partitionBy("mention_id")
+    rows = often.withColumn("r", F.row_number().over(own.orderBy("df", "x"))).withColumn("m", F.count("*").over(own))
+    rows = rows.select("mention_id", "n", "x", (F.col("m") - F.col("r") + 1).cast("int").alias("left"), shared(F.ceil(n * floor)).cast("int").alias("least"))
+    return rows.filter(F.col("left") >= F.col("least"))
+
+
+def near_pairs(mentions: DataFrame, least: float = SIMILAR, without: DataFrame | None = None) -> DataFrame:
     """a < b and similarity of all pairs with Jaccard similarity of at least `least`, by prefix filtering.
 
-    Shingles are ordered by rarity; a set is listed under its rarest, as many as similar sets
-    can't avoid sharing. Only sets that meet there and have fitting sizes are compared.
+    Shingles are 64-bit names. Only sets that meet under a listed one, have fitting sizes and enough of their lists left
+    from that place on are compared, in full. Mentions in `without` (mention_id) take no part.
     """
-    floor = least - 0.00005  # the test is on four digits
-    sets = mentions.select("mention_id", T.shingles(F.col("compact")).alias("s")).filter("size(s) > 0")
-    each = sets.select("mention_id", F.size("s").alias("n"), F.explode("s").alias("x"))
-    counts = each.groupBy("x").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "x").groupBy("mention_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("r"))
-    listed = (F.col("n") - F.ceil(F.col("n") * floor) + 1).cast("int")
-    posted = ranked.select("mention_id", "n", F.explode(F.slice("r", F.lit(1), listed)).alias("p")).filter("p.df > 1").select("mention_id", "n", F.col("p.x").alias("x"))
-    left, right = (posted.select("x", F.col("mention_id").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
+    floor = least - 0.00006  # the test is on four digits
+    store = Stored(mentions)
+    rows = rare_first(mentions, floor, store)
+    posted = store.write(rows.join(without, "mention_id", "left_anti") if without is not None else rows)
+    store.drop(1)
+    left, right = (posted.select("x", F.col("mention_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "left", "least")]) for k in "ab")
     fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * floor
-    pairs = left.join(right, "x").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    side = lambda k: sets.select(F.col("mention_id").alias(k), F.col("s").alias(f"s_{k}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", T.shared_share(F.col("s_a"), F.col("s_b")).alias("similarity"))
+    enough = F.least("left_a", "left_b") >= F.greatest("least_a", "least_b")
+    pairs = store.write(left.join(right, "x").filter((F.col("a") < F.col("b")) & fits & enough).select("a", "b").distinct())
+    store.drop(2)
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("mention_id")).distinct()
+    sets = store.write(mentions.select("mention_id", "compact").join(involved, "mention_id", "left_semi").select("mention_id", T.shingle_names(F.col("compact")).alias("h")))
+    side = lambda k: sets.select(F.col("mention_id").alias(k), F.col("h").alias(f"h_{k}"))
+    scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", T.shared_share(F.col("h_a"), F.col("h_b")).alias("similarity"))
     return scored.filter(F.col("similarity") >= least)
 
 
@@ -76,11 +106,11 @@ def near_clusters(mentions: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     Members of exact clusters take no part.
     """
-    rest = mentions.join(exact_members(mentions).select("mention_id"), "mention_id", "left_anti")
-    pairs = near_pairs(rest, least)
+    pairs = cut(near_pairs(mentions, least, copied(mentions)))
     found = components(pairs.select("a", "b"))
-    members = rest.join(found.withColumnRenamed("node", "mention_id"), "mention_id")
-    groups = members.groupBy("component").agg(F.count("*").alias("cluster_size"), representative().alias("representative_id"))
+    # Only lengths travel to the join.
+    members = mentions.select("mention_id", "depth", F.length("compact").alias("length")).join(found.withColumnRenamed("node", "mention_id"), "mention_id")
+    groups = members.groupBy("component").agg(F.count("*").alias("cluster_size"), representative(F.col("length")).alias("representative_id"))
     means = pairs.join(found.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.round(F.avg("similarity"), 4).alias("similarity"))
     cluster = F.concat(F.lit("near:"), F.substring(F.sha2(F.col("component").cast("string"), 256), 1, 16))
     return members.select("mention_id", "component").join(groups, "component").join(means, "component").select(

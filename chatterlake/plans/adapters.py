@@ -21,8 +21,8 @@ def spread(rows: DataFrame) -> DataFrame:
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as mentions: author and platform are the source."""
     raw = spread(table(spark, sf_dir, "documents"))
-    rows = raw.select(F.col("doc_id").alias("mention_id"), F.col("source").alias("author_id"), F.col("source").alias("platform"), "lang", T.squeeze(F.col("text")).alias("text"), F.lit(0).alias("depth"))
-    return rows.withColumns({"urls": T.urls(F.col("text")), "hashtags": T.hashtags(F.col("text")), "normalized": F.col("text"), "compact": T.compact(F.col("text"))})
+    rows = raw.select(F.col("doc_id").alias("mention_id"), F.col("source").alias("author_id"), F.col("source").alias("platform"), "lang", T.squeeze(F.col("text")).alias("text"), F.lit(0).alias("depth"), T.compact(F.col("text")).alias("compact"))
+    return rows.withColumns({"urls": T.urls(F.col("text")), "hashtags": T.hashtags(F.col("text")), "normalized": F.col("text")})
 
 
 def thread_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ PAIRS = f"""{EXACT},
 @query(f"WITH {PAIRS} SELECT * FROM pairs")
 def dedup_near_pairs(spark, sf_dir):
     rows = A.mentions(spark, sf_dir)
-    return dedup.near_pairs(rows.join(dedup.exact_members(rows).select("mention_id"), "mention_id", "left_anti"))
+    return dedup.near_pairs(rows, without=dedup.copied(rows))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), nodes AS (SELECT DISTINCT a AS n FROM links),

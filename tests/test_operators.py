@@ -279,3 +279,23 @@ def test_frequent_tokens_link_topics(spark):
                 up = {k: min(up[a], up[b]) if v in (up[a], up[b]) else v for k, v in up.items()}
     sizes = sorted(n for r in set(up.values()) if (n := list(up.values()).count(r)) > 1)
     assert sorted(r.mentions for r in topics.clusters(tops).collect()) == sizes and sizes[-1] >= 30
+
+
+def test_near_pairs_store_little(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(f"u{i}x{k}" for k in range(60)) for i in range(40)]
+    texts += [" ".join(w if rng.random() > 0.02 else "zz" for w in texts[0].split()) + f" v{j}" for j in range(5)] + [texts[1]] * 3
+    stored = []
+    write = dedup.Stored.write
+    monkeypatch.setattr(dedup.Stored, "write", lambda self, frame: stored.append(out := write(self, frame)) or out)
+    rows = mentions(spark, texts)
+    got = {(r.a, r.b) for r in dedup.near_pairs(rows, without=dedup.copied(rows)).collect()}
+    copies = {i for i, t in enumerate(texts) if texts.count(t) > 1}
+    assert got == {(a, b) for a, b in brute_pairs(texts) if not {a, b} & copies} and len(got) >= 3
+    # Sets that share nothing leave no rows, and only those in pairs are read in full.
+    assert len({x for p in got for x in p}) <= stored[-1].count() < 8
+
+
+def test_compact_is_the_squeezed_text_without_other_signs(spark):
+    found = spark.createDataFrame([(" A_b/c\u00a0--d: #E+\t\nf!? ",), ("!!",), (None,)], "t string").select(T.compact(F.col("t")).alias("v"))
+    assert [r.v for r in found.collect()] == ["a b c --d: #e+ f", "", None]
