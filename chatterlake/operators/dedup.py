@@ -78,9 +78,10 @@ def near_pairs(mentions: DataFrame, least: float = SIMILAR, without: DataFrame |
     enough = F.least("left_a", "left_b") >= F.greatest("least_a", "least_b")
     pairs = store.write(left.join(right, "x").filter((F.col("a") < F.col("b")) & fits & enough).select("a", "b").distinct())
     store.drop(2)
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("mention_id")).distinct()
+    # The same joins at every size: texts and sets are too many to be looked up in one table.
+    involved = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "mention_id").hint("merge")
     sets = store.write(mentions.select("mention_id", "compact").join(involved, "mention_id", "left_semi").select("mention_id", T.shingle_names(F.col("compact")).alias("h")))
-    side = lambda k: sets.select(F.col("mention_id").alias(k), F.col("h").alias(f"h_{k}"))
+    side = lambda k: sets.select(F.col("mention_id").alias(k), F.col("h").alias(f"h_{k}")).hint("merge")
     scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", T.shared_share(F.col("h_a"), F.col("h_b")).alias("similarity"))
     return scored.filter(F.col("similarity") >= least)
 
@@ -106,7 +107,7 @@ def near_clusters(mentions: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     Members of exact clusters take no part.
     """
-    pairs = cut(near_pairs(mentions, least, copied(mentions)))
+    pairs = Stored(mentions).write(near_pairs(mentions, least, copied(mentions)))
     found = components(pairs.select("a", "b"))
     # Only lengths travel to the join.
     members = mentions.select("mention_id", "depth", F.length("compact").alias("length")).join(found.withColumnRenamed("node", "mention_id"), "mention_id")
