@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .dedup import components
-from .lineage import cut
+from .lineage import Stored, cut
 
 #: Words that say nothing about a topic. Configuration: a small sample.
 STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "not", "you", "les", "des", "une", "que", "est", "der", "die", "und", "das", "los", "las", "cho", "của", "và", "là")
+#: Mentions that share the same two tokens meet in blocks of about so many.
+BLOCK = 4096
 
 
 def topic_tokens(text: Column) -> Column:
@@ -20,7 +25,8 @@ def topic_tokens(text: Column) -> Column:
 
 def top_tokens(mentions: DataFrame, k: int = 8) -> DataFrame:
     """mention_id, token, n, rank: each mention's k most frequent tokens, ties to the earlier one."""
-    each = mentions.select("mention_id", F.posexplode(topic_tokens(F.col("text"))).alias("at", "token"))
+    # Dealt by mention before the tokens are counted: the texts are all that is shuffled.
+    each = mentions.select("mention_id", "text").repartition("mention_id").select("mention_id", F.posexplode(topic_tokens(F.col("text"))).alias("at", "token"))
     counted = each.groupBy("mention_id", "token").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     best = counted.groupBy("mention_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "token"))), 1, k).alias("best"))
     return best.select("mention_id", F.posexplode("best").alias("rank", "b")).select("mention_id", F.col("b.token").alias("token"), (-F.col("b.m")).alias("n"), (F.col("rank") + 1).alias("rank"))
@@ -33,17 +39,37 @@ def token_pairs(tops: DataFrame) -> DataFrame:
     return sets.select("mention_id", F.explode(two).alias("two"))
 
 
-def sharing_pairs(tops: DataFrame) -> DataFrame:
-    """a < b and shared: all mentions that share at least two of their top tokens, however frequent those are.
+def two_and_rest(sets: DataFrame) -> DataFrame:
+    """mention_id, two of its sorted top tokens t, x < y, and the others, those before y first, as u."""
+    two = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return sets.select("mention_id", "t", F.explode(two).alias("two")).select("mention_id", "two.x", "two.y", F.array_except("t", F.array("two.x", "two.y")).alias("u"))
+
 
-    They meet by two tokens at once, so a frequent token alone brings nobody together. The result holds all pairs of
-    a group; `sharing_links` has the same components in rows that grow with the mentions.
+def sharing_pairs(tops: DataFrame, k: int = 8) -> DataFrame:
+    """a < b and shared: all mentions that share at least two of their k top tokens, however frequent those are.
+
+    They meet by two tokens at once, so a frequent token alone brings nobody together, and each pair leaves the join once: at the
+    first two tokens that it shares. So nothing that grows with pairs is shuffled or sorted, only the mentions' rows. Those of
+    two tokens that many mentions share are dealt in blocks of a. The result holds all pairs of a group; `sharing_links` has
+    the same components in rows that grow with the mentions.
     """
-    rows = token_pairs(tops)
-    left, right = rows.withColumnRenamed("mention_id", "a"), rows.withColumnRenamed("mention_id", "b")
-    met = left.join(right, "two").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("met"))
-    # s shared tokens make s (s - 1) / 2 keys.
-    return met.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("met"))) / 2).cast("long").alias("shared"))
+    # Tokens go by 63 bits of hash.
+    token = F.xxhash64("token").bitwiseAND(F.lit((1 << 63) - 1))
+    rows = two_and_rest(Stored(tops).write(tops.groupBy("mention_id").agg(F.array_sort(F.collect_set(token)).alias("t"))))
+    rest = [f"u{i}" for i in range(k - 2)]
+    large = rows.groupBy("x", "y").count().filter(F.col("count") > BLOCK).select("x", "y", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(large, ["x", "y"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # Numbers that no token has stand for absent ones, another on each side: the comparisons are then plain and compile to little code.
+    side = lambda absent: [F.coalesce(F.get("u", F.lit(i)), F.lit(absent)).alias(c) for i, c in enumerate(rest)]
+    left = rows.select("mention_id", "x", "y", F.pmod(F.xxhash64("mention_id"), F.col("blocks")).cast("int").alias("block"), *side(-1)).alias("l")
+    right = rows.select("mention_id", "x", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side(-2)).alias("r")
+    col = lambda side, c: F.col(f"{side}.{c}")
+    same = [col("l", p) == col("r", q) for p in rest for q in rest]
+    earlier = reduce(or_, [col("l", p).isin(*[col("r", q) for q in rest]) & (col("l", p) < col("l", "y")) for p in rest])
+    shared = sum((eq.cast("int") for eq in same), F.lit(2))
+    keys = [col("l", c) == col("r", c) for c in ("x", "y", "block")]
+    met = left.join(right, keys[0] & keys[1] & keys[2] & (col("l", "mention_id") < col("r", "mention_id")) & ~earlier)
+    return met.select(col("l", "mention_id").alias("a"), col("r", "mention_id").alias("b"), shared.cast("long").alias("shared"))
 
 
 def sharing_links(tops: DataFrame) -> DataFrame:

@@ -281,6 +281,20 @@ def test_frequent_tokens_link_topics(spark):
     assert sorted(r.mentions for r in topics.clusters(tops).collect()) == sizes and sizes[-1] >= 30
 
 
+def test_sharing_pairs_meet_once_and_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(7)
+    held = {i: {"often", *(["usual"] if i % 3 else []), *(f"w{rng.randrange(12)}" for _ in range(rng.randrange(7)))} for i in range(90)}
+    tops = spark.createDataFrame([(i, t, 1) for i, s in held.items() for t in s], "mention_id long, token string, n long")
+    want = {(a, b, len(held[a] & held[b])) for a in held for b in held if a < b and len(held[a] & held[b]) >= 2}
+    for block in (4096, 8):
+        monkeypatch.setattr(topics, "BLOCK", block)
+        pairs = topics.sharing_pairs(tops)
+        got = [tuple(r) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    # The plan's top is the join: no exchange or sum stands above it.
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
 def test_near_pairs_store_little(spark, monkeypatch):
     rng = random.Random(11)
     texts = [" ".join(f"u{i}x{k}" for k in range(60)) for i in range(40)]
