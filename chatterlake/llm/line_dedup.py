@@ -15,8 +15,8 @@ place on, and parities of 128 bits of their tokens that differ in no more bits t
 so similar can. What passes is verified on the full sets. All filters are necessary
 conditions, so no pair is lost.
 
-A class needs only one earlier class to go. Before the join each class meets the earliest
-class of a few buckets of equal minima (sums before the shuffle, one row a class and bucket):
+A class needs only one earlier class to go. Before the join each class meets a few of the earliest
+classes of a few buckets of equal minima (sums before the shuffle, one row a class and bucket):
 that settles most of a large group of like lines in linear work, and the join is for what is
 still open.
 
@@ -44,6 +44,8 @@ BUCKETS = 1 << 16
 LEVELS, FREQUENT = 4, 1 << 14
 #: Lists, and the four buckets of minima, are gone through in so many shares, so that the disk holds one share at a time.
 TURNS, BUCKET_TURNS = 4, 2
+#: Shares of a bucket that have an earliest class each.
+LEADERS = 8
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 BLANK = r"[\x09-\x0D\x20]+"
@@ -114,27 +116,28 @@ def may_be_similar(x: str, y: str) -> Column:
 
 
 def with_leaders(classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): each class and the earliest class of every bucket of minima it is in, of this turn's, if they may be similar."""
+    """Pairs (a, b): each class and the earliest classes (one of each of LEADERS shares) of every bucket of minima it is in, of this turn's, if they come before it and may be similar."""
     several = 4 // BUCKET_TURNS
     rows = classes.select(F.explode(F.slice("minima", turn * several + 1, several)).alias("key"), F.struct("first", "n", "m0", "m1").alias("x"))
-    leaders = rows.groupBy("key").agg(F.min("x").alias("y"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    met = rows.join(leaders, "key").filter((F.col("x.first") != F.col("y.first")) & may_be_similar("x", "y"))
+    share = F.pmod(F.xxhash64("x.first"), F.lit(LEADERS))
+    least = [F.min(F.when(share == k, F.col("x"))).alias(f"y{k}") for k in range(LEADERS)]
+    leaders = rows.groupBy("key").agg(*least, F.count("*").alias("members")).filter("members > 1")
+    met = rows.join(leaders.select("key", F.array_compact(F.array(*[f"y{k}" for k in range(LEADERS)])).alias("ys")), "key")
+    met = met.select("x", F.explode("ys").alias("y")).filter((F.col("x.first") > F.col("y.first")) & may_be_similar("x", "y"))
     return met.select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct()
 
 
 def listings(classes: DataFrame, turn: int) -> DataFrame:
     """A narrow row for each of this turn's lists that a class is in: p, doc, line (nth twice, plus 1 if open), key, sizes (n and the meeting place), parities."""
     # A single token is listed whatever it is.
-    alone = F.slice("r", F.lit(1), F.when(F.col("n") == 1, 1).otherwise(F.least(F.col("rare"), listed(F.col("n")))))
-    pairs = F.expr("""flatten(transform(slice(r, rare + 1, size(r)), (x, i) -> transform(slice(r, cast(rare + i + 2 as int), size(r)),
-        y -> named_struct('p', xxhash64(x, y), 'at', cast(rare + i as int)))))""")
-    pairs = F.when((F.col("n") > 1) & (F.col("rare") < F.size("r")), pairs)
-    singles = F.transform(alone, lambda x, i: F.struct(x.cast("long").alias("p"), i.cast("int").alias("at")))
-    lists = F.concat(singles, F.coalesce(pairs, F.expr("cast(array() as array<struct<p:bigint,at:int>>)")))
-    rows = classes.select("first", "open", "n", "m0", "m1", F.explode(lists).alias("l")).filter(F.pmod("l.p", F.lit(TURNS)) == turn)
+    alone = F.slice("r", F.lit(1), F.when(F.col("n") == 1, 1).otherwise(F.least(F.col("rare"), listed(F.col("n"))))).cast("array<bigint>")
+    pairs = F.expr("flatten(transform(slice(r, rare + 1, size(r)), (x, i) -> transform(slice(r, cast(rare + i + 2 as int), size(r)), y -> xxhash64(x, y))))")
+    lists = F.when((F.col("n") > 1) & (F.col("rare") < F.size("r")), F.concat(alone, pairs)).otherwise(alone)
+    # Pairs follow the rare tokens: all of them count as met at the first frequent one, where no less is left than at their own place.
+    rows = classes.select("first", "open", "n", "m0", "m1", "rare", F.posexplode(lists).alias("at", "p")).filter(F.pmod("p", F.lit(TURNS)) == turn)
     line = F.col("first.nth").cast("long") * 2 + F.col("open").cast("long")
-    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("l.at").cast("long"))
-    return rows.select(F.col("l.p").alias("p"), F.col("first._doc").alias("doc"), line.alias("line"), F.col("first._key").alias("key"), sizes.alias("sizes"), "m0", "m1")
+    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.least("at", "rare").cast("long"))
+    return rows.select("p", F.col("first._doc").alias("doc"), line.alias("line"), F.col("first._key").alias("key"), sizes.alias("sizes"), "m0", "m1")
 
 
 def with_earlier(classes: DataFrame, turn: int) -> DataFrame:
