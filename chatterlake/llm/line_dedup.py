@@ -39,11 +39,11 @@ from .storage import Scratch, fresh
 
 PERCENT = 75
 #: Hash buckets whose counts order tokens; their table is this long at any scale.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Levels to a doubling of a bucket's count, and the count from which a token is frequent.
 LEVELS, FREQUENT = 4, 1 << 14
-#: Lists, and the four buckets of minima, are gone through in so many shares, so that the disk holds one share at a time.
-TURNS, BUCKET_TURNS = 4, 2
+#: Lists of single tokens, and the four buckets of minima, are gone through in so many shares, so that the disk holds one share at a time.
+TURNS, BUCKET_TURNS = 2, 2
 #: Shares of a bucket that have an earliest class each.
 LEADERS = 8
 #: Stands for a null id.
@@ -65,18 +65,28 @@ def tokens(line: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """A row for each line that has words, named by c and d."""
-    rows = docs.select("_doc", "_key", F.posexplode(F.split("text", "\n")).alias("nth", "line")).filter(F.trim(spaced(F.col("line"))) != "")
+    rows = docs.select("_doc", "_key", F.posexplode(F.split("text", "\n")).alias("nth", "line")).filter(F.trim("line", F.lit(" \t\x0b\x0c\r")) != "")
     return rows.withColumns({"c": F.xxhash64("line"), "d": F.xxhash64(F.lit(9), "line")})
 
 
 def rarity(docs: DataFrame) -> Column:
-    """An array (a literal: folded once) that holds, for each bucket, LEVELS times the binary logarithm of its tokens' occurrences."""
+    """An array that holds, for each bucket, LEVELS times the binary logarithm of its tokens' occurrences."""
     words = docs.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("t")).filter("t <> ''")
     counts = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
     level = [0] * BUCKETS
     for r in counts.collect():  # BUCKETS rows at most
         level[r["b"]] = min(127, int(LEVELS * math.log2(1 + r["count"])))
-    return F.split(F.lit(",".join(map(str, level))), ",").cast("array<bigint>")
+    return table_of(level)
+
+
+def table_of(values: list[int]) -> Column:
+    """The numbers as an array: a literal, folded once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def parities(bit: Column) -> Column:
+    """The bits that the tokens' lowest 7 bits name in the table, summed modulo 2."""
+    return F.aggregate("h", F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(bit[x.bitwiseAND(F.lit(127))]))
 
 
 def listed(n: Column) -> Column:
@@ -96,9 +106,10 @@ def classes_of(docs: DataFrame, level: Column) -> DataFrame:
     # Sets as hashes; each step is a projection of its own, so that nothing is computed twice.
     about = ["c", "d", "first", "lines"]
     rows = rows.select(*about, F.array_distinct(F.array_remove(F.transform(F.split(spaced(F.col("line")), " "), lambda x: F.xxhash64(x)), F.xxhash64(F.lit("")))).alias("h"))
-    ranks = F.transform("h", lambda x: F.shiftleft(level[x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")], 56).bitwiseOR(F.shiftrightunsigned(x, 8)))
+    ranks = F.transform("h", lambda x: F.shiftleft(level[x.bitwiseAND(F.lit(BUCKETS - 1))], 56).bitwiseOR(F.shiftrightunsigned(x, 8)))
     other = F.transform("h", lambda x: x.bitwiseXOR(F.lit(0x5555555555555555)))
-    parity = [F.expr(f"aggregate(h, 0L, (m, x) -> if((x & 64) = {64 * k}, m ^ shiftleft(1L, cast(x & 63 as int)), m))").alias(f"m{k}") for k in range(2)]
+    bits = [1 << k for k in range(63)] + [-(1 << 63)]
+    parity = [parities(table_of(t)).alias(f"m{k}") for k, t in enumerate((bits + [0] * 64, [0] * 64 + bits))]
     rows = rows.select(*about, F.size("h").alias("n"), F.sort_array(ranks).alias("r"), *parity, F.array_min("h").alias("a1"), F.array_max("h").alias("b1"), other.alias("o"))
     rows = rows.select(*about, "n", F.slice("r", F.lit(1), listed(F.col("n")) + 1).alias("r"), "m0", "m1", "a1", "b1", F.array_min("o").alias("a2"), F.array_max("o").alias("b2"))
     # Ranks are sorted, so the frequent tokens are the last. Names of 32 bits are enough to be listed under: two that agree by chance only meet for nothing.
@@ -122,28 +133,36 @@ def with_leaders(classes: DataFrame, turn: int) -> DataFrame:
     share = F.pmod(F.xxhash64("x.first"), F.lit(LEADERS))
     least = [F.min(F.when(share == k, F.col("x"))).alias(f"y{k}") for k in range(LEADERS)]
     leaders = rows.groupBy("key").agg(*least, F.count("*").alias("members")).filter("members > 1")
-    met = rows.join(leaders.select("key", F.array_compact(F.array(*[f"y{k}" for k in range(LEADERS)])).alias("ys")), "key")
+    met = rows.join(leaders.select("key", F.array_compact(F.array(*[f"y{k}" for k in range(LEADERS)])).alias("ys")).hint("shuffle_hash"), "key")
     met = met.select("x", F.explode("ys").alias("y")).filter((F.col("x.first") > F.col("y.first")) & may_be_similar("x", "y"))
     return met.select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct()
 
 
 def listings(classes: DataFrame, turn: int) -> DataFrame:
-    """A narrow row for each of this turn's lists that a class is in: p, doc, line (nth twice, plus 1 if open), key, sizes (n and the meeting place), parities."""
-    # A single token is listed whatever it is.
-    alone = F.slice("r", F.lit(1), F.when(F.col("n") == 1, 1).otherwise(F.least(F.col("rare"), listed(F.col("n"))))).cast("array<bigint>")
-    pairs = F.expr("flatten(transform(slice(r, rare + 1, size(r)), (x, i) -> transform(slice(r, cast(rare + i + 2 as int), size(r)), y -> xxhash64(x, y))))")
-    lists = F.when((F.col("n") > 1) & (F.col("rare") < F.size("r")), F.concat(alone, pairs)).otherwise(alone)
-    # Pairs follow the rare tokens: all of them count as met at the first frequent one, where no less is left than at their own place.
-    rows = classes.select("first", "open", "n", "m0", "m1", "rare", F.posexplode(lists).alias("at", "p")).filter(F.pmod("p", F.lit(TURNS)) == turn)
+    """A narrow row for each of this turn's lists that a class is in: p, doc, line (nth twice, plus 1 if open), key, sizes (n and the meeting place), parities.
+
+    The last turn has the pairs of frequent tokens, the others share the rest.
+    """
+    if turn < TURNS:
+        lists = F.slice("r", F.lit(1), F.least(F.col("rare"), listed(F.col("n")))).cast("array<bigint>")
+        classes = classes.select("first", "open", "n", "m0", "m1", "rare", F.posexplode(lists).alias("at", "p")).filter(F.pmod("p", F.lit(TURNS)) == turn)
+    else:
+        # A single token is listed whatever it is.
+        pairs = F.expr("flatten(transform(slice(r, rare + 1, size(r)), (x, i) -> transform(slice(r, cast(rare + i + 2 as int), size(r)), y -> xxhash64(x, y))))")
+        lists = F.when(F.col("n") == 1, F.col("r").cast("array<bigint>")).otherwise(pairs)
+        classes = classes.filter(F.col("rare") < F.size("r")).select("first", "open", "n", "m0", "m1", "rare", F.explode(lists).alias("p"))
+        # All pairs count as met at the first frequent token, where no less is left than at their own place.
+        classes = classes.withColumn("at", F.col("rare"))
     line = F.col("first.nth").cast("long") * 2 + F.col("open").cast("long")
-    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.least("at", "rare").cast("long"))
-    return rows.select("p", F.col("first._doc").alias("doc"), line.alias("line"), F.col("first._key").alias("key"), sizes.alias("sizes"), "m0", "m1")
+    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    return classes.select("p", F.col("first._doc").alias("doc"), line.alias("line"), F.col("first._key").alias("key"), sizes.alias("sizes"), "m0", "m1")
 
 
 def with_earlier(classes: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b): each class that is still open and every earlier one that shares a list with it and may be similar."""
     rows = listings(classes, turn)
-    x, y = rows.alias("x"), rows.alias("y")
+    # Most pairs of a list are refuted, and a merge join goes through them several times faster than a hash join.
+    x, y = rows.alias("x"), rows.alias("y").hint("merge")
     n = {s: F.shiftright(F.col(f"{s}.sizes"), 32) for s in "xy"}
     left = {s: n[s] - F.col(f"{s}.sizes").bitwiseAND(F.lit(0xFFFFFFFF)) for s in "xy"}
     nth = {s: F.shiftright(F.col(f"{s}.line"), 1) for s in "xy"}
@@ -155,7 +174,7 @@ def with_earlier(classes: DataFrame, turn: int) -> DataFrame:
     # J >= t needs t / (1 + t) of both sizes in common: the first shared token and what follows it must be enough.
     common = F.least(left["x"], left["y"]) * (100 + PERCENT) >= PERCENT * total
     differ = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in ("m0", "m1")), F.lit(0))
-    met = x.join(y, (F.col("x.p") == F.col("y.p")) & open_and_later & sizes & common & (differ * (100 + PERCENT) <= (100 - PERCENT) * total))
+    met = x.join(y, (F.col("x.p") == F.col("y.p")) & sizes & common & open_and_later & (differ * (100 + PERCENT) <= (100 - PERCENT) * total))
     place = {s: F.struct(F.col(f"{s}.doc").alias("_doc"), nth[s].cast("int").alias("nth"), F.col(f"{s}.key").alias("_key")) for s in "xy"}
     return met.select(place["x"].alias("a"), place["y"].alias("b")).distinct()
 
@@ -182,12 +201,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         pairs = scratch.write(pairs)
         involved = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().select("x.*")
         # The same join at every size: texts are too many to be looked up in one table.
-        held = of_texts(docs, per_text(involved, "_wanted").hint("merge"), "inner")
+        held = of_texts(docs, per_text(involved, "_wanted").hint("shuffle_hash"), "inner")
         held = held.select("_doc", "_key", F.split("text", "\n").alias("lines"), F.explode("_wanted").alias("nth"))
         held = held.select(F.struct(*PLACE).alias("x"), tokens(F.get("lines", F.col("nth"))).alias("t")).dropDuplicates(["x"])
         sets = scratch.write(held.select("x", F.transform("t", lambda x: F.xxhash64(x)).alias("t")))
         side = lambda s: sets.select(F.col("x").alias(s), F.col("t").alias(f"t_{s}"))
-        joined = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("s", F.size(F.array_intersect("t_a", "t_b")))
+        joined = pairs.join(side("b").hint("shuffle_hash"), "b").join(side("a").hint("shuffle_hash"), "a").withColumn("s", F.size(F.array_intersect("t_a", "t_b")))
         found = scratch.write(joined.filter(100 * F.col("s") >= PERCENT * (F.size("t_a") + F.size("t_b") - F.col("s"))).select(F.col("a").alias("first")).distinct())
         scratch.drop(sets, pairs)
         scratch.sweep()
@@ -198,16 +217,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     later = confirmed(turns(with_leaders, named, BUCKET_TURNS))
     places = scratch.write(named.select("c", "d", "first", "lines"))
     scratch.sweep()
-    left = scratch.write(named.join(later.withColumn("open", F.lit(False)).hint("merge"), "first", "left").select("first", F.coalesce("open", F.lit(True)).alias("open"), "n", "r", "rare", "m0", "m1"))
+    left = scratch.write(named.join(later.withColumn("open", F.lit(False)).hint("shuffle_hash"), "first", "left").select("first", F.coalesce("open", F.lit(True)).alias("open"), "n", "r", "rare", "m0", "m1"))
     scratch.drop(named)
     scratch.sweep()
-    later = scratch.write(later.union(confirmed(turns(with_earlier, left, TURNS))).withColumn("later", F.lit(True)))
+    later = scratch.write(later.union(confirmed(turns(with_earlier, left, TURNS + 1))).withColumn("later", F.lit(True)))
     scratch.drop(left)
     scratch.sweep()
     # Only lines of classes that occur twice or go altogether can go.
-    status = places.join(later, "first", "left").filter("lines > 1 or later")
+    status = places.join(later.hint("shuffle_hash"), "first", "left").filter("lines > 1 or later")
     here = F.struct(*PLACE)
-    gone = lines_of(docs).drop("line").join(status, ["c", "d"]).filter(F.coalesce("later", F.lit(False)) | (here != F.col("first")))
+    gone = lines_of(docs).drop("line").join(status.hint("shuffle_hash"), ["c", "d"]).filter(F.coalesce("later", F.lit(False)) | (here != F.col("first")))
     return per_text(gone, "_gone")
 
 
@@ -218,7 +237,7 @@ def of_texts(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, _key (the text's hash), n_lines, n_removed and kept_text (null for a null text)."""
     docs = keyed(docs, id_col, text_col)
-    found = of_texts(docs, repeated_lines(docs)).withColumns({"_lines": F.split("text", "\n"), "_gone": F.coalesce("_gone", F.array().cast("array<int>"))})
+    found = of_texts(docs, repeated_lines(docs).hint("shuffle_hash")).withColumns({"_lines": F.split("text", "\n"), "_gone": F.coalesce("_gone", F.array().cast("array<int>"))})
     kept = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n"))
     return found.select(
         F.nullif("_doc", F.lit(NO_ID)).alias("doc_id"), "_key", F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
@@ -236,7 +255,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     doc, key, gone = fresh(docs, "doc", "key", "gone")
     found = repeated_lines(inner).select(F.col("_d").alias(doc), F.col("_k").alias(key), F.col("_gone").alias(gone))
     here = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == found[doc]) & (F.xxhash64(docs["text"]) == found[key])
-    out = docs.join(found, here, "left")
+    out = docs.join(found.hint("shuffle_hash"), here, "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     columns = {c: F.col(c) for c in docs.columns} | {"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)}
     if "n_chars" in docs.columns:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 from chatterlake.llm import line_dedup as L
 
@@ -97,3 +98,24 @@ def test_large_groups_of_unlike_copies_meet_few_earlier_lines(spark, monkeypatch
     assert gone == {i for i, (_, g, _) in want(rows).items() if g}
     # The last of the written pairs are all that the lists left to verify.
     assert 0 < met[-1] < 2600
+
+
+def test_lists_are_of_rare_tokens_and_made_in_three_rounds(spark, monkeypatch):
+    """Lines of 4 tokens that occur once and 8 that occur eight times are listed under the former; each list is in one round."""
+    rng = random.Random(13)
+    pool = [f"p{i}" for i in range(15_000) for _ in range(8)]
+    rng.shuffle(pool)
+    rows = [(i, " ".join([f"s{i}_{k}" for k in range(4)] + pool[8 * i : 8 * i + 8])) for i in range(15_000)]
+    docs = L.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    rounds, listings = [], L.listings
+
+    def counted(classes, turn):
+        rounds.append([r.p for r in listings(classes, turn).select("p").collect()])
+        return listings(classes, turn)
+
+    monkeypatch.setattr(L, "listings", counted)
+    assert not L.repeated_lines(docs).count()
+    assert len(rounds) == 3
+    lists = Counter(p for names in rounds for p in names)
+    assert lists.total() > 4 * 14_900
+    assert sum(k for k in lists.values() if k > 1) < 0.15 * lists.total()
